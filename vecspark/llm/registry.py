@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate
+from vecspark.llm import decontaminate, packing, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_pack": packing.op6_pack,
 }
 SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,

@@ -160,14 +160,14 @@ def pack(found: DataFrame, length: int = LENGTH, per_salt: int = PER_SALT) -> Da
     order = [F.col(c) for c in found.columns if c not in ("length", "_salt")]
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
     placed = ranked.join(before, (ranked["length"] == before["_length"]) & (ranked["_salt"] == before["_own"])).select(*found.columns, (F.col("_rank") + F.col("_before")).cast("bigint").alias("_rank"))
-    at = found.columns.index("length")
+    names, at = [*found.columns, "sequence_id", "offset"], found.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, rank = batch.column(at).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
             row = np.searchsorted(keys, (size << 44) + rank, "right") - 1
             sequence = steps[row, 3] + rank - steps[row, 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(steps[row, 4])], [*found.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(steps[row, 4])], names)
 
     schema = T.StructType([*found.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return placed.mapInArrow(run, schema)

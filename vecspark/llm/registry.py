@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, packing, simhash
+from vecspark.llm import decontaminate, packing, simhash, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op5_simhash": simhash.op5_simhash,
     "op6_pack": packing.op6_pack,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, packing, simhash, toxicity
+from vecspark.llm import decontaminate, lm_score, packing, simhash, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op5_simhash": simhash.op5_simhash,
     "op6_pack": packing.op6_pack,
+    "op9_lm_score": lm_score.op9_lm_score,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {

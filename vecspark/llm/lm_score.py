@@ -136,10 +136,10 @@ def _within(doc: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, target)."""
+    """(doc_id, text, target). Both sides are dealt by doc_id at every size: the ids of good documents grow with the corpus."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("_good")).distinct()
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(good, docs["doc_id"] == good["_good"], "left").select("doc_id", "text", F.col("_good").isNotNull().alias("target"))
+    return docs.join(good.hint("merge"), docs["doc_id"] == good["_good"], "left").select("doc_id", "text", F.col("_good").isNotNull().alias("target"))
 
 
 def train(rows: DataFrame) -> Models:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, lm_score, packing, simhash, topk, toxicity, url_filter, warc
+from vecspark.llm import decontaminate, lm_score, packing, simhash, site_tree, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_warc": warc.op3_warc,
+    "op4_main_text": site_tree.op4_main_text,
     "op5_simhash": simhash.op5_simhash,
     "op6_pack": packing.op6_pack,
     "op7_topk": topk.op7_topk,

@@ -178,9 +178,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, each without its hit spans; texts without hits stay as they are, and every row is kept."""
     columns = documents.columns
-    clear = documents.toDF(*[f"_{c}" if c in ADDED else c for c in columns])
+    at, count = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+    clear = documents.toDF(*["text" if k == at else f"column_{k}" for k in range(len(columns))])
     found = _all_blocks(clear, benchmark, window, block_bytes)
-    at, count = clear.columns.index("text"), clear.columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

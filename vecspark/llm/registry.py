@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vecspark.llm import decontaminate, lm_score, packing, simhash, site_tree, topk, toxicity, url_filter, warc
+from vecspark.llm import decontaminate, line_dedup, lm_score, packing, simhash, site_tree, topk, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_warc": warc.op3_warc,
     "op4_main_text": site_tree.op4_main_text,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
     "op7_topk": topk.OP7_SQL,

@@ -1,20 +1,20 @@
 """Line dedup by an exact set-similarity join, all in DataFrame operations.
 
-A line's tokens are its shingles of SHINGLE words (all its words, if it has fewer), as 64-bit hashes; words are runs
-without white space. A line occurrence goes if an earlier one, by doc_id and then line number, has the same words, or if
-the Jaccard similarity of its tokens and an earlier line's is at least THRESHOLD. Lines without words stay.
+A line's tokens are its shingles of SHINGLE words (all its words, if it has fewer), as 57-bit hashes; words are runs
+without white space. A line occurrence goes if an earlier one, by doc_id and then line number, has the same text, or if
+the Jaccard similarity of its tokens and another, earlier line's is at least THRESHOLD. Lines without words stay.
 
-1. Equal lines meet as one key with its first occurrence; only keys, never texts, are grouped.
-2. Any order of all tokens makes a valid prefix filter. In the order of their hashes, lines whose prefixes share no
-   token with another line's can't be similar to one; the rest, a small share, go on.
+1. Equal lines meet as one 64-bit key with its first occurrence; only keys, never texts, are grouped.
+2. Any order of all tokens makes a valid prefix filter. In the order of their first words' lengths, longest first, lines
+   whose prefixes share no token with another line's can't be similar to one; the rest, a small share, go on.
 3. Of those, tokens are counted and ordered by rarity. A line is indexed under the tokens of its rarity prefix, with
    position and size, and pairs pass the length filter, the positional filter, and at last the exact Jaccard test.
 4. Each token's earliest line is tried first, against all others that share the token, which is linear in the group
    and settles groups of near copies. Lines that it doesn't settle meet the token's other earlier lines of like size.
 
 Defined cases: a null text is empty, one line without words; rows with the same doc_id and line number count as one
-occurrence if the words are equal, else by key; null doc_ids come first; an empty table gives no rows; other columns
-are kept as they are and may have any names.
+occurrence if the lines are equal, else the smaller key is earlier; null doc_ids come first; an empty table gives no
+rows; other columns are kept as they are and may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 #: Tables of at most so many rows of a few numbers (64 MB) are broadcast after they have been counted; larger ones aren't.
 BROADCAST_ROWS = 2_000_000
-_BLANK = "[ \\t\\r\\f\\x0b]+"
+_BLANK = " \t\r\f\x0b"
+#: Low bits of a word's value that hold its length in bytes.
+_SIZE = 6
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -38,18 +40,37 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h): hashes of each line's words. The generator keeps them from being computed again below it."""
+    """(doc_id, line_no, line, key) of lines with words."""
+    found = documents.select("doc_id", F.posexplode(F.split(text_of("text"), "\n")).alias("line_no", "line"))
+    return found.where(F.btrim("line", F.lit(_BLANK)) != "").withColumn("key", F.xxhash64("line"))
 
-    def words(line: Column) -> Column:
-        return F.transform(F.filter(F.split(line, _BLANK), lambda w: w != ""), lambda w: F.xxhash64(w))
 
-    return documents.select("doc_id", F.posexplode(F.transform(F.split(text_of("text"), "\n"), words)).alias("line_no", "h"))
+def _words(line: Column) -> Column:
+    """A value for each word: its hash, and in the lowest bits its length."""
+    low = (1 << _SIZE) - 1
 
+    def value(w: Column) -> Column:
+        return F.xxhash64(w).bitwiseAND(F.lit(~low)).bitwiseOR(F.least(F.octet_length(w), F.lit(low)))
 
-def _tokens(h: Column) -> Column:
-    """Sorted distinct hashes of the shingles."""
-    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
-    return F.sort_array(F.array_distinct(F.when(F.size(h) >= SHINGLE, shingles).otherwise(F.array(F.xxhash64(h)))))
+    return F.transform(F.split(F.btrim(line, F.lit(_BLANK)), f"[{_BLANK}]+"), value)
+
+
+def with_tokens(found: DataFrame) -> DataFrame:
+    """found (..., line) with `tokens`, sorted and distinct, in place of `line`: longest first words first.
+
+    The generator holds the words, so they aren't computed again for each shingle.
+    """
+    rest = [c for c in found.columns if c != "line"]
+    h = F.col("_h")
+    low = (1 << _SIZE) - 1
+
+    def token(i: Column) -> Column:
+        first = F.get(h, i)
+        shingle = F.xxhash64(first, *[F.get(h, i + k) for k in range(1, SHINGLE)])
+        return F.shiftleft(F.lit(low) - first.bitwiseAND(F.lit(low)), 63 - _SIZE).bitwiseOR(F.shiftrightunsigned(shingle, _SIZE + 1))
+
+    last = F.greatest(F.size(h) - SHINGLE, F.lit(0))
+    return found.select(*rest, F.explode(F.array(_words(F.col("line")))).alias("_h")).select(*rest, F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), last), token))).alias("tokens"))
 
 
 def _needed(n: Column) -> Column:
@@ -86,13 +107,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def suspects(keyed: DataFrame) -> DataFrame:
-    """(key): keys whose prefix, in the order of hashes, shares a token with another key's."""
-    entries = keyed.select("key", F.explode(F.slice("tokens", F.lit(1), _prefix(F.size("tokens")))).alias("token")).distinct()
-    shared = entries.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    # a token that two keys share names both; of more, the keys are looked up
+    """keyed (key, tokens), one row a key -> (key): keys whose prefix shares a token with another key's.
+
+    Tokens are counted with partial sums. One that two keys share names both; the keys of more widely shared ones are
+    looked up among the entries, so no task gathers a token's lines.
+    """
+    spark = keyed.sparkSession
+    entries = table(spark, keyed.select("key", F.explode(F.slice("tokens", F.lit(1), _prefix(F.size("tokens")))).alias("token")), "entries")
+    shared = table(spark, entries.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("n > 1"), "shared")
     two = shared.where("n = 2").select(F.explode(F.array("a", "b")).alias("key"))
-    more = entries.join(small(table(keyed.sparkSession, shared.where("n > 2").select("token"), "shared")), "token", "left_semi").select("key")
-    return two.union(more).distinct()
+    many = small(table(spark, shared.where("n > 2").select("token"), "many"))
+    return two.union(entries.join(many, "token", "left_semi").select("key")).distinct()
 
 
 def near(sets: DataFrame) -> DataFrame:
@@ -121,20 +146,19 @@ def near(sets: DataFrame) -> DataFrame:
 
 
 def removals(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, similar) of the line occurrences that go; similar: because of an earlier line with other words."""
+    """(doc_id, line_no, similar) of the line occurrences that go; similar: because of an earlier line with another text."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    all_lines = lines(docs).where(F.size("h") > 0)
-    key = F.xxhash64("h")
-    found = table(spark, all_lines.select("doc_id", "line_no", key.alias("key")), "occurrences")
-    first = table(spark, found.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "lines")
-    suspect = small(table(spark, suspects(all_lines.select(key.alias("key"), _tokens(F.col("h")).alias("tokens"))), "suspects"))
-    sets = all_lines.select(key.alias("key"), "h").join(suspect, "key", "left_semi").groupBy("key").agg(F.first("h").alias("h")).select("key", _tokens(F.col("h")).alias("tokens"))
-    sets = table(spark, sets.join(first.select("key", "first"), "key"), "sets")
-    similar = table(spark, near(sets).withColumn("similar", F.lit(True)), "similar")
-    decided = table(spark, first.join(similar, "key", "left").where("n > 1 OR similar").select("key", "first", F.coalesce("similar", F.lit(False)).alias("similar")), "decided")
-    hit = found.join(small(decided), "key")
-    return hit.where(F.col("similar") | ~F.col("first").eqNullSafe(F.struct("doc_id", "line_no"))).select("doc_id", "line_no", "similar").distinct()
+    every = lines(documents.select("doc_id", F.col("text").cast("string").alias("text")))
+    found = table(spark, every.select("doc_id", "line_no", "key"), "occurrences")
+    at = F.struct("doc_id", "line_no")
+    again = small(table(spark, found.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "again"))
+    is_first = F.col("first").isNull() | F.col("first").eqNullSafe(at)
+    once = every.join(again, "key", "left").where(is_first).select("key", at.alias("first"), "line")
+    suspect = small(table(spark, suspects(with_tokens(once.select("key", "line"))), "suspects"))
+    sets = table(spark, with_tokens(once.join(suspect, "key", "left_semi")).dropDuplicates(["key"]), "sets")
+    similar = small(table(spark, near(sets).withColumn("similar", F.lit(True)), "similar"))
+    decided = found.join(again, "key", "left").join(similar, "key", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
+    return decided.where(F.col("similar") | ~is_first).select("doc_id", "line_no", "similar").distinct()
 
 
 def cleaned(documents: DataFrame) -> DataFrame:
@@ -160,8 +184,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
-w AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \t\r\f\x0b]+'), lambda x: x <> '') AS w FROM l),
-o AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS key FROM w WHERE len(w) > 0),
+w AS (SELECT doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[ \t\r\f\x0b]+'), lambda x: x <> '') AS w FROM l),
+o AS (SELECT doc_id, line_no, w, line AS key FROM w WHERE len(w) > 0),
 f AS (SELECT key, any_value(w) AS w, min({'doc_id': doc_id, 'line_no': line_no}) AS first, count(*) AS n FROM o GROUP BY key),
 t AS (SELECT DISTINCT key, token FROM (SELECT key, array_to_string(w[i:i + 4], ' ') AS token FROM (SELECT key, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM f))),
 s AS (SELECT key, count(*) AS n FROM t GROUP BY key),

@@ -6,7 +6,7 @@ the Jaccard similarity of its tokens and another, earlier line's is at least THR
 
 1. Equal lines meet as one 64-bit key with its first occurrence; only keys, never texts, are grouped.
 2. Any order of all tokens makes a valid prefix filter. In the order of their first words' lengths, longest first, lines
-   whose prefixes share no token with another line's can't be similar to one; the rest, a small share, go on.
+   whose prefixes share too few tokens with others' can't be similar to one; the rest, a small share, go on.
 3. Of those, tokens are counted and ordered by rarity. A line is indexed under the tokens of its rarity prefix, with
    position and size, and pairs pass the length filter, the positional filter, and at last the exact Jaccard test.
 4. Each token's earliest line is tried first, against all others that share the token, which is linear in the group
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import read, table, text_of
+from vecspark.llm.common import drop_table, read, table, text_of
 
 SHINGLE = 5
 #: The least Jaccard similarity, as a fraction.
@@ -30,6 +30,8 @@ THRESHOLD = (4, 5)
 #: Tables of at most so many rows of a few numbers (64 MB) are broadcast after they have been counted; larger ones aren't.
 BROADCAST_ROWS = 2_000_000
 _BLANK = " \t\r\f\x0b"
+#: Tokens that a line's prefix must share: LEAST and one more for EVERY tokens; each makes the prefix one longer.
+LEAST, EVERY = 2, 16
 #: Low bits of a word's value that hold its length in bytes.
 _SIZE = 6
 
@@ -107,17 +109,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def suspects(keyed: DataFrame) -> DataFrame:
-    """keyed (key, tokens), one row a key -> (key): keys whose prefix shares a token with another key's.
+    """keyed (key, tokens), one row a key -> (key): keys whose prefix shares enough tokens with other keys'.
 
-    Tokens are counted with partial sums. One that two keys share names both; the keys of more widely shared ones are
-    looked up among the entries, so no task gathers a token's lines.
+    In prefixes that are longer by m - 1, similar lines share m tokens, or as many as they need; m grows with the line, for
+    a long line shares some by chance. Tokens are counted with partial sums and then looked up among the entries, so no
+    task gathers a token's lines.
     """
     spark = keyed.sparkSession
-    entries = table(spark, keyed.select("key", F.explode(F.slice("tokens", F.lit(1), _prefix(F.size("tokens")))).alias("token")), "entries")
-    shared = table(spark, entries.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("n > 1"), "shared")
-    two = shared.where("n = 2").select(F.explode(F.array("a", "b")).alias("key"))
-    many = small(table(spark, shared.where("n > 2").select("token"), "many"))
-    return two.union(entries.join(many, "token", "left_semi").select("key")).distinct()
+    n = F.size("tokens")
+    m = F.floor(n / EVERY).cast("int") + LEAST
+    # a similar line may have as few as _needed(n) tokens, and its prefix is longer by that line's m - 1
+    need = F.least(F.floor(_needed(n) / EVERY).cast("int") + LEAST, _needed(n))
+    entries = table(spark, keyed.select("key", need.alias("need"), F.explode(F.slice("tokens", F.lit(1), _prefix(n) + m - 1)).alias("token")), "entries")
+    common = small(table(spark, entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "common"))
+    found = table(spark, entries.join(common, "token", "left_semi").groupBy("key", "need").agg(F.count("*").alias("n")).where("n >= need").select("key"), "suspects")
+    drop_table(spark, entries)
+    return found
 
 
 def near(sets: DataFrame) -> DataFrame:
@@ -154,7 +161,7 @@ def removals(documents: DataFrame) -> DataFrame:
     again = small(table(spark, found.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "again"))
     is_first = F.col("first").isNull() | F.col("first").eqNullSafe(at)
     once = every.join(again, "key", "left").where(is_first).select("key", at.alias("first"), "line")
-    suspect = small(table(spark, suspects(with_tokens(once.select("key", "line"))), "suspects"))
+    suspect = small(suspects(with_tokens(once.select("key", "line"))))
     sets = table(spark, with_tokens(once.join(suspect, "key", "left_semi")).dropDuplicates(["key"]), "sets")
     similar = small(table(spark, near(sets).withColumn("similar", F.lit(True)), "similar"))
     decided = found.join(again, "key", "left").join(similar, "key", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))

@@ -1,14 +1,16 @@
 """Line dedup by an exact set-similarity join, all in DataFrame operations.
 
-A line's tokens are its shingles of SHINGLE words (all its words, if it has fewer), as 57-bit hashes; words are runs
+A line's tokens are its shingles of SHINGLE words (all its words, if it has fewer), as 64-bit hashes; words are runs
 without white space. A line occurrence goes if an earlier one, by doc_id and then line number, has the same text, or if
 the Jaccard similarity of its tokens and another, earlier line's is at least THRESHOLD. Lines without words stay.
 
 1. Equal lines meet as one 64-bit key with its first occurrence; only keys, never texts, are grouped.
-2. Any order of all tokens makes a valid prefix filter. In the order of their first words' lengths, longest first, lines
-   whose prefixes share too few tokens with others' can't be similar to one; the rest, a small share, go on.
+2. Similar lines share at least m tokens within prefixes that are m - 1 longer than one shared token would need, whatever
+   the order of all tokens; here it is that of their hashes. A line with fewer than m prefix tokens that another line's
+   prefix has too can't be similar to one; the rest, a small share, go on.
 3. Of those, tokens are counted and ordered by rarity. A line is indexed under the tokens of its rarity prefix, with
-   position and size, and pairs pass the length filter, the positional filter, and at last the exact Jaccard test.
+   position and size, and pairs pass the length filter, the positional filter, and at last the exact Jaccard test. A pair
+   is tested at the first token alone that both are indexed under.
 4. Each token's earliest line is tried first, against all others that share the token, which is linear in the group
    and settles groups of near copies. Lines that it doesn't settle meet the token's other earlier lines of like size.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import drop_table, read, table, text_of
+from vecspark.llm.common import read, table, text_of
 
 SHINGLE = 5
 #: The least Jaccard similarity, as a fraction.
@@ -32,8 +34,6 @@ BROADCAST_ROWS = 2_000_000
 _BLANK = " \t\r\f\x0b"
 #: Tokens that a line's prefix must share: LEAST and one more for EVERY tokens; each makes the prefix one longer.
 LEAST, EVERY = 2, 16
-#: Low bits of a word's value that hold its length in bytes.
-_SIZE = 6
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -48,31 +48,23 @@ def lines(documents: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    """A value for each word: its hash, and in the lowest bits its length."""
-    low = (1 << _SIZE) - 1
-
-    def value(w: Column) -> Column:
-        return F.xxhash64(w).bitwiseAND(F.lit(~low)).bitwiseOR(F.least(F.octet_length(w), F.lit(low)))
-
-    return F.transform(F.split(F.btrim(line, F.lit(_BLANK)), f"[{_BLANK}]+"), value)
+    """A hash for each word. Lines whose words are apart by single spaces, as most are, need no pattern."""
+    odd = F.contains(line, F.lit("  "))
+    for c in _BLANK[1:]:
+        odd = odd | F.contains(line, F.lit(c))
+    trimmed = F.btrim(line, F.lit(_BLANK))
+    return F.transform(F.when(odd, F.split(trimmed, f"[{_BLANK}]+")).otherwise(F.split(trimmed, " ")), lambda w: F.xxhash64(w))
 
 
 def with_tokens(found: DataFrame) -> DataFrame:
-    """found (..., line) with `tokens`, sorted and distinct, in place of `line`: longest first words first.
+    """found (..., line) with `tokens`, sorted and distinct, in place of `line`.
 
     The generator holds the words, so they aren't computed again for each shingle.
     """
     rest = [c for c in found.columns if c != "line"]
     h = F.col("_h")
-    low = (1 << _SIZE) - 1
-
-    def token(i: Column) -> Column:
-        first = F.get(h, i)
-        shingle = F.xxhash64(first, *[F.get(h, i + k) for k in range(1, SHINGLE)])
-        return F.shiftleft(F.lit(low) - first.bitwiseAND(F.lit(low)), 63 - _SIZE).bitwiseOR(F.shiftrightunsigned(shingle, _SIZE + 1))
-
-    last = F.greatest(F.size(h) - SHINGLE, F.lit(0))
-    return found.select(*rest, F.explode(F.array(_words(F.col("line")))).alias("_h")).select(*rest, F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), last), token))).alias("tokens"))
+    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
+    return found.select(*rest, F.explode(F.array(_words(F.col("line")))).alias("_h")).select(*rest, F.sort_array(F.array_distinct(shingles)).alias("tokens"))
 
 
 def _needed(n: Column) -> Column:
@@ -91,13 +83,6 @@ def _alike(n: Column, m: Column) -> Column:
     return (n * b >= m * a) & (m * b >= n * a)
 
 
-def _reachable(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """The positional filter: with a shared token at positions i and j from 0, what can still overlap is enough."""
-    a, b = THRESHOLD
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return most * (a + b) >= (n + m) * a
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (later, earlier) of keys whose token sets are similar."""
     a, b = THRESHOLD
@@ -109,46 +94,62 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def suspects(keyed: DataFrame) -> DataFrame:
-    """keyed (key, tokens), one row a key -> (key): keys whose prefix shares enough tokens with other keys'.
+    """keyed (key, tokens), one row a key -> a table (key): keys whose prefix shares enough tokens with other keys'.
 
-    In prefixes that are longer by m - 1, similar lines share m tokens, or as many as they need; m grows with the line, for
-    a long line shares some by chance. Tokens are counted with partial sums and then looked up among the entries, so no
-    task gathers a token's lines.
+    A similar line may have as few as _needed(n) tokens, and its prefix is longer by that line's m - 1, so that is what
+    the prefix is bound to share, or all that the line needs. Tokens are counted with partial sums and then looked up, so
+    no task gathers a token's lines.
     """
     spark = keyed.sparkSession
     n = F.size("tokens")
-    m = F.floor(n / EVERY).cast("int") + LEAST
-    # a similar line may have as few as _needed(n) tokens, and its prefix is longer by that line's m - 1
+    longer = F.floor(n / EVERY).cast("int") + (LEAST - 1)
     need = F.least(F.floor(_needed(n) / EVERY).cast("int") + LEAST, _needed(n))
-    entries = table(spark, keyed.select("key", need.alias("need"), F.explode(F.slice("tokens", F.lit(1), _prefix(n) + m - 1)).alias("token")), "entries")
+    lines = table(spark, keyed.select("key", need.alias("need"), F.slice("tokens", F.lit(1), _prefix(n) + longer).alias("prefix")), "prefixes")
+    entries = lines.select("key", "need", F.explode("prefix").alias("token"))
     common = small(table(spark, entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "common"))
-    found = table(spark, entries.join(common, "token", "left_semi").groupBy("key", "need").agg(F.count("*").alias("n")).where("n >= need").select("key"), "suspects")
-    drop_table(spark, entries)
-    return found
+    found = entries.join(common, "token", "left_semi").groupBy("key", "need").agg(F.count("*").alias("n")).where("n >= need")
+    return table(spark, found.select("key"), "suspects")
 
 
-def near(sets: DataFrame) -> DataFrame:
-    """sets (key, first, tokens), first a (doc_id, line_no) struct -> (key) of those that an earlier one is similar to."""
-    spark = sets.sparkSession
+def index(sets: DataFrame) -> DataFrame:
+    """sets (key, first, tokens) -> (token, key, first, n, i, ranked): a row for each token of a line's rarity prefix.
+
+    i: the token's place in the line by rarity; ranked: the line's indexed tokens. Tokens of one line only come first in
+    the order and can't match, so they have places but no rows.
+    """
     token = sets.select("key", F.explode("tokens").alias("token"))
     rarity = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = token.join(rarity, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    sized = sets.select("key", "first", F.size("tokens").alias("n")).join(shared, "key").where(F.size("shared") >= _needed(F.col("n")))
-    # tokens of one line only come first in the order and can't match: positions start behind them
-    index = sized.select("key", "first", "n", (F.col("n") - F.size("shared")).alias("_own"), F.posexplode("shared").alias("at", "s")).select("key", "first", "n", (F.col("_own") + F.col("at")).alias("i"), F.col("s.token").alias("token"))
-    index = table(spark, index.where(F.col("i") < _prefix(F.col("n"))), "index")
-    entry = F.struct("first", "key", "n", "i")
-    lead = index.groupBy("token").agg(F.min(entry).alias("lead"), F.count("*").alias("lines")).where("lines > 1")
-    led = index.join(lead, "token").where((F.col("key") != F.col("lead.key")) & _alike(F.col("n"), F.col("lead.n")) & _reachable(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
-    settled = table(spark, _verified(led.select(F.col("key").alias("later"), F.col("lead.key").alias("earlier")).distinct(), sets).select(F.col("later").alias("key")).distinct(), "settled")
-    left = index.join(settled, "key", "left_anti").join(lead.where("lines > 2").select("token"), "token", "left_semi")
-    step = F.log(F.lit(THRESHOLD[1] / THRESHOLD[0]))
-    klass = F.floor(F.log("n") / step).cast("int")
-    probes = left.withColumn("k", F.explode(F.array(klass - 1, klass, klass + 1))).select("token", "k", *[F.col(c).alias(f"p_{c}") for c in ("key", "first", "n", "i")])
-    met = probes.join(index.withColumn("k", klass), ["token", "k"])
-    before = F.struct("first", "key") < F.struct(F.col("p_first").alias("first"), F.col("p_key").alias("key"))
-    met = met.where(before & _alike(F.col("p_n"), F.col("n")) & _reachable(F.col("p_n"), F.col("p_i"), F.col("n"), F.col("i")))
-    rest = _verified(met.select(F.col("p_key").alias("later"), F.col("key").alias("earlier")).distinct(), sets).select(F.col("later").alias("key"))
+    shared = token.join(rarity, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    sized = sets.select("key", "first", F.size("tokens").alias("n")).join(shared, "key").where(F.size("s") >= _needed(F.col("n")))
+    rows = _prefix(F.col("n")) - (F.col("n") - F.size("s"))
+    ranked = F.transform(F.slice("s", F.lit(1), F.greatest(rows, F.lit(0))), lambda x: x["token"])
+    held = sized.select("key", "first", "n", (F.col("n") - F.size("s")).alias("own"), F.explode(F.array(ranked)).alias("ranked"))
+    return held.select("key", "first", "n", "own", "ranked", F.posexplode("ranked").alias("at", "token")).select("token", "key", "first", "n", (F.col("own") + F.col("at")).alias("i"), "ranked")
+
+
+def _met(x: str, y: str) -> Column:
+    """Filters of a pair in the index: length; that it is met here first; and position, for only tokens from here on are shared."""
+    a, b = THRESHOLD
+    n, m, i, j = (F.col(f"{side}.{name}") for name in ("n", "i") for side in (x, y))
+    most = F.least(n - i, m - j)
+    here = F.get(F.array_intersect(F.col(f"{x}.ranked"), F.col(f"{y}.ranked")), F.lit(0)) == F.col("token")
+    return _alike(n, m) & (most * (a + b) >= (n + m) * a) & here
+
+
+def near(sets: DataFrame) -> DataFrame:
+    """sets: a table (key, first, tokens), first a (doc_id, line_no) struct -> (key) of those that an earlier one is similar to."""
+    spark = sets.sparkSession
+    found = table(spark, index(sets).select("token", F.struct("first", "key", "n", "i", "ranked").alias("x")), "index")
+    lead = table(spark, found.groupBy("token").agg(F.min("x").alias("y"), F.count("*").alias("lines")).where("lines > 1"), "leads")
+    led = found.join(lead, "token").where((F.col("x.key") != F.col("y.key")) & _met("x", "y"))
+    settled = table(spark, _verified(led.select(F.col("x.key").alias("later"), F.col("y.key").alias("earlier")).distinct(), sets).select(F.col("later").alias("key")).distinct(), "settled")
+    left = found.join(settled, F.col("x.key") == settled["key"], "left_anti").join(lead.where("lines > 2").select("token"), "token", "left_semi")
+    size = F.floor(F.log("x.n") / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
+    probes = left.select("token", "x", F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    others = found.select("token", F.col("x").alias("y"), size.alias("size"))
+    order = lambda s: F.struct(F.col(f"{s}.first").alias("first"), F.col(f"{s}.key").alias("key"))
+    met = probes.join(others, ["token", "size"]).where((order("y") < order("x")) & _met("x", "y"))
+    rest = _verified(met.select(F.col("x.key").alias("later"), F.col("y.key").alias("earlier")).distinct(), sets).select(F.col("later").alias("key"))
     return settled.union(rest).distinct()
 
 
@@ -160,9 +161,10 @@ def removals(documents: DataFrame) -> DataFrame:
     at = F.struct("doc_id", "line_no")
     again = small(table(spark, found.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "again"))
     is_first = F.col("first").isNull() | F.col("first").eqNullSafe(at)
-    once = every.join(again, "key", "left").where(is_first).select("key", at.alias("first"), "line")
-    suspect = small(suspects(with_tokens(once.select("key", "line"))))
-    sets = table(spark, with_tokens(once.join(suspect, "key", "left_semi")).dropDuplicates(["key"]), "sets")
+    once = every.join(again, "key", "left").where(is_first).select("key", "line")
+    suspect = small(suspects(with_tokens(once)))
+    own = every.join(suspect, "key", "left_semi").join(again, "key", "left").where(is_first).select("key", at.alias("first"), "line")
+    sets = table(spark, with_tokens(own).dropDuplicates(["key"]), "sets")
     similar = small(table(spark, near(sets).withColumn("similar", F.lit(True)), "similar"))
     decided = found.join(again, "key", "left").join(similar, "key", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
     return decided.where(F.col("similar") | ~is_first).select("doc_id", "line_no", "similar").distinct()

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -178,10 +178,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def learned(texts: list[tuple[int, list[str]]]) -> Lexicon:
+def learned(texts: Iterable[tuple[int, list[str]]]) -> Lexicon:
     """texts: (label, distinct words) of bounded many. Entries that tell toxic texts, the fewest that cover them."""
-    toxic = [set(w) for y, w in texts if y]
-    clean = [w for y, w in texts if not y]
+    number: dict[str, int] = {}
+    toxic, clean = [], []
+    for y, words in texts:  # kept as numbers: words recur, and the driver's memory is bounded
+        (toxic if y else clean).append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+    words = list(number)
 
     def forms(word: str) -> Iterator[str]:
         yield word
@@ -189,13 +192,17 @@ def learned(texts: list[tuple[int, list[str]]]) -> Lexicon:
             if k <= len(word):
                 yield f"{word[:k]}*"
 
-    open_texts = [words for words in toxic if words.isdisjoint(INSULTS)]
-    told = {x: sum(x in words for words in toxic) for x in [*INSULTS, *THREATS]}
-    pos = Counter(x for words in open_texts for x in {f for w in words for f in forms(w)})
-    tried = {x for x, n in pos.items() if n >= 3} | {*told}
+    insulting = {number[w] for w in INSULTS if w in number}
+    open_texts = [own for own in toxic if insulting.isdisjoint(own.tolist())]
+    told = {x: sum(number.get(x, -1) in own for own in toxic) for x in [*INSULTS, *THREATS]}
+    pos: Counter[str] = Counter()
+    for own in open_texts:
+        pos.update({f for w in own.tolist() for f in forms(words[w])})
+    pos = Counter({x: n for x, n in pos.items() if n >= 3})
+    of_word = {i: own for i, w in enumerate(words) if (own := [f for f in forms(w) if f in pos or f in told])}
     neg: Counter[str] = Counter()
-    for words in clean:
-        neg.update({f for w in words for f in forms(w) if f in tried})
+    for own in clean:
+        neg.update({f for w in own.tolist() for f in of_word.get(w, ())})
 
     def odds(a: float, b: float, n1: float) -> tuple[float, float]:
         w = float(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (len(clean) + 1)))
@@ -203,9 +210,9 @@ def learned(texts: list[tuple[int, list[str]]]) -> Lexicon:
 
     known = bool(toxic and clean)
     fixed = {x: odds(n + PRIOR_COUNT, neg[x], len(toxic) + PRIOR_COUNT)[0] if known else 3.0 for x, n in told.items()}
-    insults, threats = ({x: min(fixed[x], 6.0) for x in words if fixed[x] > 0.5} for words in (INSULTS, THREATS))
-    strong = {x: w for x in tried if x not in fixed and (w := odds(pos[x], neg[x], len(open_texts)))[1] >= LEAST_WEIGHT} if known else {}
-    uncovered = [{f for w in words for f in forms(w) if f in strong} for words in open_texts]
+    insults, threats = ({x: min(fixed[x], 6.0) for x in own if fixed[x] > 0.5} for own in (INSULTS, THREATS))
+    strong = {x: w for x in pos if x not in fixed and (w := odds(pos[x], neg[x], len(open_texts)))[1] >= LEAST_WEIGHT} if known else {}
+    uncovered = [{f for w in own.tolist() for f in of_word.get(w, ()) if f in strong} for own in open_texts]
     cover = Counter(f for own in uncovered for f in own)
     while cover and len(insults) < MOST_ENTRIES:
         x, n = max(cover.items(), key=lambda p: (p[1], strong[p[0]][1], p[0]))
@@ -250,7 +257,7 @@ def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
             found = [sorted({*WORD.findall((t or "").lower())}) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
 
-    lexicon = learned([(r[0], r[1]) for r in rows.mapInArrow(words, "toxic int, words array<string>").toLocalIterator()])
+    lexicon = learned((r[0], r[1]) for r in rows.mapInArrow(words, "toxic int, words array<string>").toLocalIterator())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

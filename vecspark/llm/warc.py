@@ -23,14 +23,14 @@ import io
 import json
 import zlib
 from collections.abc import Iterator
-from uuid import NAMESPACE_URL, uuid4, uuid5
+from uuid import NAMESPACE_URL, uuid5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspark.llm.common import new_folder, table
 from vecspark.llm.common import read as read_table
-from vecspark.llm.common import shared_dir, table
 
 LEAST = 1000
 #: Payload bytes after which a task begins another archive.
@@ -224,7 +224,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
 def archived(pages: DataFrame) -> tuple[DataFrame, str]:
     """The normalised archives (file, index, records) and their folder; the whole-stream ones are deleted."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/llm/warc-{uuid4().hex}"
+    folder = new_folder(spark, "warc")
     whole = table(spark, write(decisions(pages), folder), "whole")
     files = table(spark, normalise(whole, folder), "archives")
     files.count()

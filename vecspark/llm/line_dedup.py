@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import read, table, text_of
+from vecspark.llm.common import drop_table, read, table, text_of
 
 SHINGLE = 5
 #: The least Jaccard similarity, as a fraction.
@@ -108,7 +108,9 @@ def suspects(keyed: DataFrame) -> DataFrame:
     entries = lines.select("key", "need", F.explode("prefix").alias("token"))
     common = small(table(spark, entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "common"))
     found = entries.join(common, "token", "left_semi").groupBy("key", "need").agg(F.count("*").alias("n")).where("n >= need")
-    return table(spark, found.select("key"), "suspects")
+    out = table(spark, found.select("key"), "suspects")
+    drop_table(spark, lines)
+    return out
 
 
 def index(sets: DataFrame) -> DataFrame:

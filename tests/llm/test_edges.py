@@ -64,15 +64,22 @@ def test_packing(docs):
     assert sum(r["length"] for r in packing.sequences(docs).collect()) == sum(r["length"] for r in got)
 
 
-def test_toxicity(docs, labels):
+def test_toxicity(spark, docs, labels):
+    """Entries come from labels alone: without any, or with too few, no text is toxic."""
     for given in (labels, labels.limit(0)):
         model = toxicity.train(docs, given)
         got = toxicity.scored(docs, model).collect()
         assert len(got) == len(DOCS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
-        assert {r["predicted"] for r in got if r["doc_id"] == 5} == {1} and {r["predicted"] for r in got if r["doc_id"] != 5} == {0}
-        kept = toxicity.reject(docs, model)
-        assert kept.schema == docs.schema and kept.count() == len(DOCS) - 2
-    assert toxicity.scored(docs.limit(0), model).count() == 0
+        assert {r["predicted"] for r in got} == {0} and toxicity.reject(docs, model).count() == len(DOCS)
+    more = [(1000 + i, f"plain talk number {i}" if i % 2 else f"some zorgish{i % 7} words, number {i}") for i in range(80)]
+    seen = spark.createDataFrame([*DOCS, *more, (5000, "what a zorgishling"), (5000, "what a zorgishling")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, None, 1 - i % 2) for i, _ in more] + [(None, 1, 1), (1000, None, None), (1000, None, 0)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(seen, marks)
+    got = toxicity.scored(seen, model).collect()
+    assert {r["predicted"] for r in got if r["doc_id"] == 5000} == {1} and sum(r["doc_id"] == 5000 for r in got) == 2
+    assert {r["predicted"] for r in got if (r["doc_id"] or 0) < 1000 or r["doc_id"] % 2 and r["doc_id"] != 5000} == {0}
+    kept = toxicity.reject(docs, model)
+    assert kept.schema == docs.schema and toxicity.scored(docs.limit(0), model).count() == 0
 
 
 def test_lm(docs, labels):

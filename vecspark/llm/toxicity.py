@@ -12,7 +12,7 @@ Labels of rows whose crc32(doc_id as text) mod 5 is not 0 are learned from, FIT_
 of a hash of doc_id. Nothing but the text goes into a score.
 
 Defined cases: a null or empty text has no clause and gets the score of its absence; without usable labels of both kinds
-the fixed list and coefficients stand alone; several labels of a document count as toxic if one does; repeated rows are
+there are no insult entries and the fixed threats and coefficients stand alone; several labels of a document count as toxic if one does; repeated rows are
 scored alike; other columns don't matter.
 """
 
@@ -37,7 +37,6 @@ BEGINNINGS = range(3, 8)
 LEAST_WEIGHT = 2.0
 MOST_ENTRIES = 2_000
 PRIOR_COUNT = 3.0
-INSULTS = "idiot idiots moron morons stupid pathetic loser losers worthless trash scum disgusting clown imbecile dumb garbage vermin filth".split()
 THREATS = "kill murder destroy hurt strangle stab shoot exterminate".split()
 TARGETS = "you your yours yourself u he she they him her them these those people tu toi vous du dich dir sie ihr euch usted ustedes tú ella ellos".split()
 NEGATIONS = "not no never nor neither cannot isn aren wasn don doesn without nicht kein keine keinen nie pas jamais ni nunca jamás sin".split()
@@ -179,7 +178,7 @@ class Model:
 
 
 def learned(texts: Iterable[tuple[int, list[str]]]) -> Lexicon:
-    """texts: (label, distinct words) of bounded many. Entries that tell toxic texts, the fewest that cover them."""
+    """texts: (label, distinct words) of bounded many. Entries that cover the toxic ones, by number of texts times certainty."""
     number: dict[str, int] = {}
     toxic, clean = [], []
     for y, words in texts:  # kept as numbers: words recur, and the driver's memory is bounded
@@ -192,11 +191,9 @@ def learned(texts: Iterable[tuple[int, list[str]]]) -> Lexicon:
             if k <= len(word):
                 yield f"{word[:k]}*"
 
-    insulting = {number[w] for w in INSULTS if w in number}
-    open_texts = [own for own in toxic if insulting.isdisjoint(own.tolist())]
-    told = {x: sum(number.get(x, -1) in own for own in toxic) for x in [*INSULTS, *THREATS]}
+    told = {x: sum(number.get(x, -1) in own for own in toxic) for x in THREATS}
     pos: Counter[str] = Counter()
-    for own in open_texts:
+    for own in toxic:
         pos.update({f for w in own.tolist() for f in forms(words[w])})
     pos = Counter({x: n for x, n in pos.items() if n >= 3})
     of_word = {i: own for i, w in enumerate(words) if (own := [f for f in forms(w) if f in pos or f in told])}
@@ -210,12 +207,13 @@ def learned(texts: Iterable[tuple[int, list[str]]]) -> Lexicon:
 
     known = bool(toxic and clean)
     fixed = {x: odds(n + PRIOR_COUNT, neg[x], len(toxic) + PRIOR_COUNT)[0] if known else 3.0 for x, n in told.items()}
-    insults, threats = ({x: min(fixed[x], 6.0) for x in own if fixed[x] > 0.5} for own in (INSULTS, THREATS))
-    strong = {x: w for x in pos if x not in fixed and (w := odds(pos[x], neg[x], len(open_texts)))[1] >= LEAST_WEIGHT} if known else {}
-    uncovered = [{f for w in own.tolist() for f in of_word.get(w, ()) if f in strong} for own in open_texts]
+    threats = {x: min(w, 6.0) for x, w in fixed.items() if w > 0.5}
+    insults: dict[str, float] = {}
+    strong = {x: w for x in pos if x not in fixed and (w := odds(pos[x], neg[x], len(toxic)))[1] >= LEAST_WEIGHT} if known else {}
+    uncovered = [{f for w in own.tolist() for f in of_word.get(w, ()) if f in strong} for own in toxic]
     cover = Counter(f for own in uncovered for f in own)
     while cover and len(insults) < MOST_ENTRIES:
-        x, n = max(cover.items(), key=lambda p: (p[1], strong[p[0]][1], p[0]))
+        x, n = max(cover.items(), key=lambda p: (p[1] * strong[p[0]][1], p[0]))
         if n < 1:
             break
         insults[x] = min(strong[x][0], 6.0)

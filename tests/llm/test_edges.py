@@ -71,7 +71,7 @@ def test_toxicity(spark, docs, labels):
         got = toxicity.scored(docs, model).collect()
         assert len(got) == len(DOCS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
         assert {r["predicted"] for r in got} == {0} and toxicity.reject(docs, model).count() == len(DOCS)
-    more = [(1000 + i, f"plain talk number {i}" if i % 2 else f"some zorgish{i % 7} words, number {i}") for i in range(80)]
+    more = [(1000 + i, f"some {'plain' if i % 2 else 'zorgish'}{i % 7} words, number {i}") for i in range(300)]
     seen = spark.createDataFrame([*DOCS, *more, (5000, "what a zorgishling"), (5000, "what a zorgishling")], "doc_id bigint, text string")
     marks = spark.createDataFrame([(i, None, 1 - i % 2) for i, _ in more] + [(None, 1, 1), (1000, None, None), (1000, None, 0)], "doc_id bigint, quality int, toxic int")
     model = toxicity.train(seen, marks)

@@ -45,6 +45,8 @@ SCOPE = 3
 READINGS = ("plain", "aimed", "denied", "quoted", "threat", "aimed threat")
 #: The coefficients that the fitted ones are drawn to: of READINGS, then of the logarithm of matched clauses, then the constant.
 CENTRE = np.array([1.2, 1.5, 0.3, 0.4, 0.8, 1.4, 0.2, -3.0])
+#: The constant stays below this, so a text without a matched clause is never toxic, however few the labels.
+MOST_CONSTANT = -0.5
 CLAUSE_END = re.compile(r"[.!?;\n]")
 WORD = re.compile(r"\w+")
 
@@ -236,7 +238,7 @@ def fitted(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
         b = b + step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-6:
             break
-    return np.concatenate([np.maximum(b[:-1], 0.0), b[-1:]])
+    return np.concatenate([np.maximum(b[:-1], 0.0), np.minimum(b[-1:], MOST_CONSTANT)])
 
 
 def held_out(doc_id: Column) -> Column:

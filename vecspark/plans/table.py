@@ -17,6 +17,8 @@ from vecspark.operators.pq import IvfPqConfig, IvfPqIndex
 from vecspark.sources.dataset import Dataset
 
 ROW_SCHEMA = "id bigint not null, payload string not null, embedding array<float> not null"
+#: Named rows (an id and a distance each) that are broadcast to find their table rows; more are joined by shuffling.
+BROADCAST_ROWS = 100_000
 #: What CREATE INDEX ... USING names, with its option names.
 METHODS = {
     "flat": (FlatIndex, None, {}),
@@ -101,16 +103,18 @@ class VectorTable:
     def top_k(self, query: Sequence[float], k: int, **options: int) -> DataFrame:
         """The k nearest rows with all columns and their distance, nearest first, by the first index."""
         index = next(iter(self.indexes.values()), None) or FlatIndex(self.dataset, self.metric)
-        return self.gather(index.search(query, k, **options)).orderBy("distance", self.id_column)
+        return self.gather(index.search(query, k, **options), k).orderBy("distance", self.id_column)
 
     def knn_join(self, queries: DataFrame, k: int, **options: int) -> DataFrame:
         """queries (qid, embedding) -> (qid, row, distance, rank) by the first index."""
         index = next(iter(self.indexes.values()), None) or FlatIndex(self.dataset, self.metric)
         return index.search_batch(queries, k, **options)
 
-    def gather(self, found: DataFrame) -> DataFrame:
-        """The rows that a search named, with `distance`; a search names k rows at most, so they are the small side."""
-        return self.base.join(F.broadcast(found.withColumnRenamed("row", "_row")), self.base[self.id_column] == F.col("_row")).drop("_row")
+    def gather(self, found: DataFrame, k: int) -> DataFrame:
+        """The rows that a search named, with `distance`. k bounds them: up to BROADCAST_ROWS they go to every task."""
+        small = found.withColumnRenamed("row", "_row")
+        small = F.broadcast(small) if k <= BROADCAST_ROWS else small
+        return self.base.join(small, self.base[self.id_column] == F.col("_row")).drop("_row")
 
     def insert(self, rows: DataFrame) -> int:
         """Appends rows and adds them to every index; centroids and graphs that are there stay. The number of rows."""

@@ -116,7 +116,8 @@ def flat_no_limit_rank(spark, sf_dir):
     """Every row's place: ranks within distance ranges, and each range's offset, so no window holds all rows."""
     parts = _with_distance(spark, sf_dir).select("id", "d").repartitionByRange("d").withColumn("p", F.spark_partition_id()).persist()
     sizes = parts.groupBy("p").count()
-    before = sizes.join(sizes.select(F.col("p").alias("q"), F.col("count").alias("n")), F.col("q") < F.col("p"), "left").groupBy("p").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, not for each vector
+    before = sizes.select("p", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     local = parts.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("d", "id")))
     return local.join(F.broadcast(before), "p").select("id", (F.col("before") + F.col("i")).alias("rank"))
 

@@ -11,7 +11,7 @@ DATA = "/root/testdata"
 @pytest.fixture(scope="session")
 def spark():
     conf = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.host": "127.0.0.1"}
-    session = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master("local[6]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

@@ -29,7 +29,8 @@ from vecspark.llm.common import drop_table, read, table, text_of
 SHINGLE = 5
 #: The least Jaccard similarity, as a fraction.
 THRESHOLD = (4, 5)
-#: Tables of at most so many rows of a few numbers (64 MB) are broadcast after they have been counted; larger ones aren't.
+#: Tables of at most so many rows of a few numbers are broadcast after they have been counted; larger ones are shuffled.
+#: 101 MB is the largest broadcast measured, on check_l; a row takes some 90 bytes as a hash table, so 180 MB is the bound.
 BROADCAST_ROWS = 2_000_000
 _BLANK = " \t\r\f\x0b"
 #: Tokens that a line's prefix must share: LEAST and one more for EVERY tokens; each makes the prefix one longer.

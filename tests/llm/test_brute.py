@@ -290,6 +290,26 @@ def test_lm_against_dictionaries(spark):
         assert np.allclose([r["target_loss"], r["background_loss"], r["score"]], [*want, want[0] - want[1]], atol=1e-5)
 
 
+def test_lm_counts_are_exact(spark):
+    """So many words that tables of 2**20 words and 2**22 pairs would add some of them together; several shards."""
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60_000, 6000))) for i in range(12)]
+    rows = lm_score.labelled(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), spark.createDataFrame([(i, 1) for i in range(4)], "doc_id bigint, quality int"))
+    got = {r["doc_id"]: (r["target_loss"], r["background_loss"]) for r in lm_score.scored(rows, lm_score.train(rows)).collect()}
+    texts = {i: t.split() for i, t in docs}
+    for i in texts:
+        want = []
+        for side, k in ((range(4), 1.0), (range(4, 12), 0.5)):
+            one, before, two = {}, {}, {}
+            for j in side:
+                for a, b in zip([None, *texts[j]], texts[j], strict=False) if j != i else ():
+                    one[b], before[a], two[a, b] = one.get(b, 0) + 1, before.get(a, 0) + 1, two.get((a, b), 0) + 1
+            total = k * sum(one.values()) + lm_score.ALPHA * (1 << lm_score.UNIGRAM_BITS)
+            p = [(k * two.get((a, b), 0) + lm_score.MU * (k * one.get(b, 0) + lm_score.ALPHA) / total) / (k * before.get(a, 0) + lm_score.MU) for a, b in zip([None, *texts[i]], texts[i], strict=False)]
+            want.append(-np.log(p).mean())
+        assert np.allclose(got[i], want, rtol=0, atol=1e-9)
+
+
 def test_topk_prunes_and_stays_exact():
     rng = np.random.default_rng(5)
     centres = rng.integers(-60, 60, (8, 16))

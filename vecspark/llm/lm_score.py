@@ -1,10 +1,16 @@
 """Cross-entropy difference: matched target and background bigram models over one vocabulary.
 
 The target model is learned from documents labelled quality 1, the background model from all others, both in one pass
-over all whole texts. Words ([0-9a-z] and non-ASCII runs, A-Z lower-cased) are numbered by hash in one vocabulary of
-2**UNIGRAM_BITS, word pairs by hash in 2**BIGRAM_BITS, for both models alike, so the models have a fixed size however
-large the corpus is. They are matched: the larger model's counts are scaled to the mass of the smaller, and both are
-smoothed alike (pairs by MU pseudo-words of the unigram model, unigrams by ALPHA a word).
+over all whole texts. Words ([0-9a-z] and non-ASCII runs, A-Z lower-cased), predecessors and word pairs are counted each
+under a key of its own: 62 bits of a hash and two bits for which of the three it is. The models are matched: the larger
+model's counts are scaled to the mass of the smaller, and both are smoothed alike (pairs by MU pseudo-words of the
+unigram model, unigrams by ALPHA a word, for 2**UNIGRAM_BITS words or as many as there are, if those are more).
+
+1. Texts are dealt into shards of SHARD_BYTES, one row each. A shard's distinct keys and its own counts, cut into as
+   many parts of the key space as the corpus has PART_BYTES, are cells of numbers: a row each, not one a key.
+2. A part's cells are summed, which makes that part of the models, and each shard is told the whole counts of its keys.
+3. A shard's texts meet its counts again and are scored. Nothing that grows with the corpus is broadcast or gathered:
+   the driver holds four sums, and a task one part or one shard.
 
 A document's own counts are taken out of the model it was learned in before it is scored, so labelled documents are not
 favoured. Per document: n_tokens, the mean loss in nats a token of each model, and their difference (target less
@@ -19,26 +25,39 @@ every score is that of smoothing alone; an empty table gives no rows; other colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import ALNUM, LOWER, bytes_of, read, slices, table, word_hashes, word_spans
 
+#: The vocabulary that smoothing takes for granted, as a power of two; not a bound on words.
 UNIGRAM_BITS = 20
-BIGRAM_BITS = 22
 MU = 20.0
 ALPHA = 0.05
 SHARD_BYTES = 4 << 20
-#: Counts of these many consecutive numbers travel together.
-CHUNK_BITS = 12
+#: Text whose keys make one part of the models, and the least number of parts.
+PART_BYTES = 16 << 20
+LEAST_PARTS = 32
 _START = np.uint64(0x51ED270B9F3C44D5)
+_SHARD = "shard bigint, size bigint, docs array<bigint>, target array<boolean>, off binary, data binary"
+_SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(x).tobytes(), asbytes=True)
+
+
+def _unpacked(x: bytes, dtype: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(x, n * np.dtype(dtype).itemsize, asbytes=True), dtype)
 
 
 def numbers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its number, its predecessor's (0 at a start), the pair's; and the first word of each row."""
+    """Of each word: its key, its predecessor's (that of a start), the pair's; and the first word of each row."""
     data = LOWER[data]
     starts, ends, first = word_spans(data, off, ALNUM)
     h = word_hashes(data, starts, ends)
@@ -49,89 +68,102 @@ def numbers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         pair = (before * np.uint64(0x9E3779B97F4A7C15)) ^ h
         pair ^= pair >> np.uint64(31)
         pair *= np.uint64(0xD6E8FEB86659FD93)
-    one = np.uint64(64 - UNIGRAM_BITS)
-    return (h >> one).astype(np.int64), (before >> one).astype(np.int64), (pair >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64), first
-
+    word, before, pair = (x & ~np.uint64(3) | np.uint64(kind) for kind, x in enumerate((h, before, pair)))
+    return word, before, pair, first
 
-def _sizes() -> tuple[int, int, int]:
-    return 1 << UNIGRAM_BITS, 1 << UNIGRAM_BITS, 1 << BIGRAM_BITS
 
+def distinct(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's keys in order, where among them each word, predecessor and pair is (3 x words), each row's first word."""
+    word, before, pair, first = numbers(data, off)
+    keys, at = np.unique(np.concatenate([word, before, pair]), return_inverse=True)
+    return keys, at.reshape(3, -1), first
 
-def counted(rows: DataFrame) -> DataFrame:
-    """rows (text, target) -> (chunk, at, n): partial counts of words, predecessors and pairs in chunks, both classes.
 
-    Each task sends every chunk once, as the numbers that occur in it and their counts.
-    """
-    total = 2 * sum(_sizes())
+def sharded(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, target) -> a table of shards: their number, bytes, documents, targets, offsets and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(total, np.uint32)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            data, off = bytes_of(batch.column(0))
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            docs, target = batch.column(0), batch.column(2)
+            data, off = bytes_of(batch.column(1))
             for a, b in slices(off, SHARD_BYTES):
-                word, before, pair, first = numbers(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                base = np.repeat(np.where(target[a:b], 0, total // 2), np.diff(first))
-                at = 0
-                for x, size in zip((word, before, pair), _sizes(), strict=True):
-                    np.add.at(n, base + at + x, 1)
-                    at += size
-        step = 1 << CHUNK_BITS
-        names = ["chunk", "at", "n"]
-        for a in range(0, total, step * 64):
-            out: list[list] = [[], [], []]
-            for c in range(a, min(total, a + step * 64), step):
-                at = np.flatnonzero(n[c : c + step])
-                if len(at):
-                    for column, x in zip(out, (c >> CHUNK_BITS, at.astype("<u2").tobytes(), n[c : c + step][at].tobytes()), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names)
-
-    return rows.mapInArrow(run, "chunk int, at binary, n binary")
-
-
-def summed(parts: DataFrame) -> DataFrame:
-    """(chunk, n): whole counts, 64-bit. A task streams its parts and holds only the chunks that are its own."""
+                ends = pa.array([0, b - a], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x.slice(a, b - a)) for x in (docs, target)]
+                held = [pa.array([_packed(x)], pa.binary()) for x in (off[a : b + 1] - off[a], data[off[a] : off[b]])]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([off[b] - off[a]], pa.int64()), *lists, *held], ["shard", "size", "docs", "target", "off", "data"])
+                number += 1
+
+    return table(rows.sparkSession, rows.select("doc_id", "text", "target").mapInArrow(run, _SHARD), "shards")
+
+
+def _opened(size: int, docs: int, off: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _unpacked(data, "u1", size), _unpacked(off, "<i8", docs + 1)
+
+
+def counted(shards: DataFrame, parts: int) -> DataFrame:
+    """(shard, part, keys, n): a shard's distinct keys in a part and its own counts of them, target's and background's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                whole = own.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))
-                whole[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.uint32)
-        for chunk, whole in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([whole.tobytes()], pa.binary())], ["chunk", "n"])
+            for k in range(batch.num_rows):
+                shard, size, target, off, data = (c[k].as_py() for c in batch.columns)
+                data, off = _opened(size, len(target), off, data)
+                keys, at, first = distinct(data, off)
+                good = np.repeat(np.array(target, bool), np.diff(first))
+                n = np.stack([np.bincount(at[:, x].ravel(), minlength=len(keys)) for x in (good, ~good)]).astype("<u4")
+                part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(cuts))
+                columns = [pa.array(np.full(len(some), shard), pa.int64()), pa.array(some, pa.int32())]
+                columns += [pa.array([f(cuts[p], cuts[p + 1]) for p in some], pa.binary()) for f in (lambda a, b: keys[a:b].tobytes(), lambda a, b: _packed(n[:, a:b]))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "part", "keys", "n"])
+
+    return shards.select("shard", "size", "target", "off", "data").mapInArrow(run, "shard bigint, part int, keys binary, n binary")
+
+
+def summed(cells: DataFrame) -> DataFrame:
+    """cells -> (shard, part, size, n, target, background, words): the whole counts of each cell's keys.
+
+    The last three are a part's sums, in one of its rows: words learned of either side, and distinct ones.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, "<u8") for x in part["keys"].to_pylist()]
+        size = [len(x) for x in keys]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        at, n = np.split(at, np.cumsum(size)[:-1]), np.zeros((2, len(every)), np.int64)
+        for i, x in zip(at, part["n"].to_pylist(), strict=True):
+            n[:, i] += _unpacked(x, "<u4", 2 * len(i)).reshape(2, -1)
+        word = (every & np.uint64(3)) == 0
+        sums = [int(n[0, word].sum()), int(n[1, word].sum()), int(word.sum())]
+        columns = [part["shard"], part["part"], pa.array(size, pa.int32()), pa.array([_packed(n[:, i]) for i in at], pa.binary())]
+        columns += [pa.array([x] + [0] * (len(size) - 1), pa.int64()) for x in sums]
+        return pa.table(columns, ["shard", "part", "size", "n", "target", "background", "words"])
 
-    spark = parts.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return parts.repartition(tasks, "chunk").mapInArrow(run, "chunk int, n binary")
+    return cells.groupBy("part").applyInArrow(run, "shard bigint, part int, size int, n binary, target bigint, background bigint, words bigint")
 
 
+@dataclass
 class Models:
-    """Both models' counts; a fixed size of 2 * (2 * 2**UNIGRAM_BITS + 2**BIGRAM_BITS) numbers."""
-
-    def __init__(self, n: np.ndarray):
-        half, (w, p, b) = len(n) // 2, _sizes()
-        self.sides = [[x[:w], x[w : w + p], x[w + p :]] for x in (n[:half], n[half:])]
-        self.mass = [float(s[0].sum(dtype=np.float64)) for s in self.sides]
-        least = min((m for m in self.mass if m), default=0.0)
-        self.scale = [least / m if m else 0.0 for m in self.mass]
-
-    def loss(self, side: int, word: np.ndarray, before: np.ndarray, pair: np.ndarray, own: tuple | None) -> np.ndarray:
-        """Each word's negative log-probability. own: the document's counts of the three, to be taken out."""
-        c = [x[i].astype(np.float64) for x, i in zip(self.sides[side], (word, before, pair), strict=True)]
-        mass = np.full(len(word), self.mass[side])
-        if own is not None:
-            c = [np.maximum(x - y, 0.0) for x, y in zip(c, own[:3], strict=True)]
-            mass = mass - own[3]
-        k = self.scale[side]
-        p1 = (k * c[0] + ALPHA) / (k * mass + ALPHA * (1 << UNIGRAM_BITS))
-        return -np.log((k * c[2] + MU * p1) / (k * c[1] + MU))
-
-
-def _within(doc: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """The rows learned from, as shards, and the models' counts as each shard needs them: tables that grow with the corpus."""
+
+    rows: DataFrame
+    shards: DataFrame
+    counts: DataFrame
+    mass: tuple[int, int]
+    words: int
+
+
+def _loss(c: list[np.ndarray], mass: np.ndarray, scale: float, words: int) -> np.ndarray:
+    """Each word's negative log-probability, from the counts of the word, its predecessor and the pair."""
+    p1 = (scale * c[0] + ALPHA) / (scale * mass + ALPHA * max(words, 1 << UNIGRAM_BITS))
+    return -np.log((scale * c[2] + MU * p1) / (scale * c[1] + MU))
+
+
+def _within(doc: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     """How often each number occurs in its own document."""
-    _, inverse, count = np.unique((doc << bits) | x, return_inverse=True, return_counts=True)
+    _, inverse, count = np.unique(doc * most + x, return_inverse=True, return_counts=True)
     return count[inverse]
 
 
@@ -143,40 +175,46 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame) -> Models:
-    """The driver gathers the summed chunks: a fixed number of bytes, whatever the corpus."""
-    total = 2 * sum(_sizes())
-    n = np.zeros(total, np.float32)
-    for chunk, whole in summed(counted(rows.select("text", "target"))).toLocalIterator():
-        n[chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(whole, np.int64)
-    return Models(n)
+    """Both models of rows (doc_id, text, target); the driver gathers four sums."""
+    shards = sharded(rows)
+    total = shards.agg(F.sum("size")).first()[0] or 0
+    counts = table(rows.sparkSession, summed(counted(shards, max(LEAST_PARTS, -(-total // PART_BYTES)))), "counts")
+    target, background, words = (x or 0 for x in counts.agg(F.sum("target"), F.sum("background"), F.sum("words")).first())
+    return Models(rows, shards, counts.select("shard", "part", "size", "n"), (target, background), words)
 
 
 def scored(rows: DataFrame, models: Models) -> DataFrame:
-    """rows (doc_id, text, target) -> (doc_id, n_tokens, target_loss, background_loss, score)."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
-        for batch in batches:
-            data, off = bytes_of(batch.column(1))
-            target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in slices(off, SHARD_BYTES):
-                word, before, pair, first = numbers(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                size = np.diff(first)
-                doc = np.repeat(np.arange(b - a), size)
-                counts = [_within(doc, x, k) for x, k in ((word, UNIGRAM_BITS), (before, UNIGRAM_BITS), (pair, BIGRAM_BITS))]
-                means = []
-                for side in (0, 1):
-                    mine = (target[a:b] == (side == 0))[doc]
-                    own = (*(np.where(mine, x, 0) for x in counts), np.where(mine, size[doc], 0))
-                    sums = np.concatenate([[0.0], np.cumsum(shared.value.loss(side, word, before, pair, own))])
-                    means.append((sums[first[1:]] - sums[first[:-1]]) / np.maximum(size, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], names)
-
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    """(doc_id, n_tokens, target_loss, background_loss, score) of the rows that the models are learned from."""
+    if rows is not models.rows:
+        raise ValueError("a document's own counts are taken out, so only the rows learned from can be scored")
+    mass, words = models.mass, models.words
+    least = min((m for m in mass if m), default=0)
+
+    def run(shard: pa.Table, cells: pa.Table) -> pa.Table:
+        docs = shard["docs"].combine_chunks().flatten()
+        size, target, off, data = (shard[c][0].as_py() for c in ("size", "target", "off", "data"))
+        target = np.array(target, bool)
+        keys, at, first = distinct(*_opened(size, len(target), off, data))
+        parts = sorted(zip(*(cells[c].to_pylist() for c in ("part", "size", "n")), strict=True))
+        n = np.concatenate([np.zeros((2, 0), np.int64), *[_unpacked(x, "<i8", 2 * size).reshape(2, -1) for _, size, x in parts]], axis=1)
+        if n.shape[1] != len(keys):
+            raise ValueError(f"a shard has {len(keys)} keys and counts of {n.shape[1]}")
+        tokens = np.diff(first)
+        doc = np.repeat(np.arange(len(tokens)), tokens)
+        own = [_within(doc, x, len(keys)) for x in at]
+        means = []
+        for side in (0, 1):
+            mine = (target == (side == 0))[doc]
+            c = [n[side][x] - np.where(mine, y, 0) for x, y in zip(at, own, strict=True)]
+            loss = _loss(c, mass[side] - np.where(mine, tokens[doc], 0), least / mass[side] if mass[side] else 0.0, words)
+            sums = np.concatenate([[0.0], np.cumsum(loss)])
+            means.append((sums[first[1:]] - sums[first[:-1]]) / np.maximum(tokens, 1))
+        return pa.table([docs, pa.array(tokens, pa.int64()), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return models.shards.groupBy("shard").cogroup(models.counts.groupBy("shard")).applyInArrow(run, _SCORES)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's losses and their difference."""
-    rows = table(spark, labelled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")), "labelled")
+    rows = labelled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored(rows, train(rows))

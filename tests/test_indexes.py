@@ -110,6 +110,18 @@ def test_pq_full_width_is_exact_and_sizes(spark):
         index.search([31.2, 4.0], 1, 8, 0)
 
 
+def test_pq_full_query_ranks_every_row(spark, oracle, monkeypatch):
+    """More rows than the configured rerank, as beyond 100,000: the answer stays that of exact search."""
+    from dataclasses import replace
+
+    from conftest import DATA, same_form
+
+    from vecspark import queries
+
+    monkeypatch.setattr(queries, "PQ", replace(queries.PQ, rerank=12))
+    assert same_form(queries.pq_topk_full(spark, f"{DATA}/sf0.001").toPandas()) == oracle("sf0.001", queries.SQL["pq_topk_full"])
+
+
 def test_pq_magnitudes(spark):
     big = of(spark, [[3e20], [2e20], [1e20]])
     assert rows(IvfPqIndex(big, L2, IvfPqConfig(1, 1, 2, 1, 2, 3, 7)).search([0.0], 1)) == [2]

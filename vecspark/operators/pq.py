@@ -180,6 +180,8 @@ class IvfPqIndex(VectorIndex):
 
         wanted = sorted({int(x) for x in lists.ravel()})
         found = self.codes.where(F.col("partition").isin(wanted)).mapInArrow(run, "qid bigint, row bigint, approx double")
+        if size >= self.dataset.rows:
+            return found
         rank = F.row_number().over(Window.partitionBy("qid").orderBy("approx", "row"))
         return found.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
 

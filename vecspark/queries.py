@@ -341,7 +341,8 @@ def pq_bytes(spark, sf_dir):
 @query(_knn_sql(Metric.EUCLIDEAN))
 def pq_topk_full(spark, sf_dir):
     """All lists and a rerank of every row: exact."""
-    return _knn(IvfPqIndex(dataset(spark, sf_dir), Metric.EUCLIDEAN, PQ).search_batch(batch(spark, sf_dir), K))
+    data = dataset(spark, sf_dir)
+    return _knn(IvfPqIndex(data, Metric.EUCLIDEAN, PQ).search_batch(batch(spark, sf_dir), K, rerank=data.rows))
 
 
 # ---- graphs -----------------------------------------------------------------------------------------------------------

@@ -13,8 +13,8 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; every document stays."""
-    return line_dedup.cleaned(docs)
+    """Lines that match an earlier line, word by word, go; every document stays."""
+    return line_dedup.cleaned(docs, shingle=1)
 
 
 def _simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

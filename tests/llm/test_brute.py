@@ -159,6 +159,31 @@ def test_line_dedup_against_all_pairs(spark, seed):
     assert got == want
 
 
+def test_pipeline_lines_by_words(spark):
+    """One changed word inside a line of 25 is a near copy by words, not by shingles; against all pairs."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in range(8):
+        lines = []
+        for n in (1, 3, 5, 10, 25, 40, 60):
+            x = [f"w{n}x{i}" if i % 4 else f"the{i % 3}" for i in range(n)]
+            for _ in range(int(rng.integers(0, 5))):
+                x[int(rng.integers(0, n))] = f"n{rng.integers(0, 50)}"
+            lines.append(" ".join(x))
+        rows.append((d, "\n".join(lines)))
+    every = [(d, set(line.split()), line) for d, t in rows for line in t.split("\n")]
+    want = {d: [] for d, _ in rows}
+    for i, (d, x, line) in enumerate(every):
+        if not any(other == line or 9 * len(x & y) >= 4 * (len(x) + len(y)) for _, y, other in every[:i]):
+            want[d].append(line)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    assert {r["doc_id"]: r["text"] for r in stage(spark, docs, SF).collect()} == {d: "\n".join(x) for d, x in want.items()}
+    assert line_dedup.removals(docs).count() < line_dedup.removals(docs, shingle=1).count()
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

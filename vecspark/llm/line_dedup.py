@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, all in DataFrame operations.
 
-A line's tokens are its shingles of SHINGLE words (all its words, if it has fewer), as 64-bit hashes; words are runs
-without white space. A line occurrence goes if an earlier one, by doc_id and then line number, has the same text, or if
+A line's tokens are its shingles of so many words (all its words, if it has fewer), as 64-bit hashes; words are runs
+without white space. OP1_SQL holds op1 to shingles of SHINGLE words; in the pipeline each word is a token. A line occurrence goes if an earlier one, by doc_id and then line number, has the same text, or if
 the Jaccard similarity of its tokens and another, earlier line's is at least THRESHOLD. Lines without words stay.
 
 1. Equal lines meet as one 64-bit key with its first occurrence; only keys, never texts, are grouped.
@@ -57,14 +57,14 @@ def _words(line: Column) -> Column:
     return F.transform(F.when(odd, F.split(trimmed, f"[{_BLANK}]+")).otherwise(F.split(trimmed, " ")), lambda w: F.xxhash64(w))
 
 
-def with_tokens(found: DataFrame) -> DataFrame:
+def with_tokens(found: DataFrame, shingle: int) -> DataFrame:
     """found (..., line) with `tokens`, sorted and distinct, in place of `line`.
 
     The generator holds the words, so they aren't computed again for each shingle.
     """
     rest = [c for c in found.columns if c != "line"]
     h = F.col("_h")
-    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
+    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - shingle, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(shingle)]))
     return found.select(*rest, F.explode(F.array(_words(F.col("line")))).alias("_h")).select(*rest, F.sort_array(F.array_distinct(shingles)).alias("tokens"))
 
 
@@ -156,7 +156,7 @@ def near(sets: DataFrame) -> DataFrame:
     return settled.union(rest).distinct()
 
 
-def removals(documents: DataFrame) -> DataFrame:
+def removals(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, line_no, similar) of the line occurrences that go; similar: because of an earlier line with another text."""
     spark = documents.sparkSession
     every = lines(documents.select("doc_id", F.col("text").cast("string").alias("text")))
@@ -165,17 +165,17 @@ def removals(documents: DataFrame) -> DataFrame:
     again = small(table(spark, found.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "again"))
     is_first = F.col("first").isNull() | F.col("first").eqNullSafe(at)
     once = every.join(again, "key", "left").where(is_first).select("key", "line")
-    suspect = small(suspects(with_tokens(once)))
+    suspect = small(suspects(with_tokens(once, shingle)))
     own = every.join(suspect, "key", "left_semi").join(again, "key", "left").where(is_first).select("key", at.alias("first"), "line")
-    sets = table(spark, with_tokens(own).dropDuplicates(["key"]), "sets")
+    sets = table(spark, with_tokens(own, shingle).dropDuplicates(["key"]), "sets")
     similar = small(table(spark, near(sets).withColumn("similar", F.lit(True)), "similar"))
     decided = found.join(again, "key", "left").join(similar, "key", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
     return decided.where(F.col("similar") | ~is_first).select("doc_id", "line_no", "similar").distinct()
 
 
-def cleaned(documents: DataFrame) -> DataFrame:
+def cleaned(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents without those lines, every row kept; n_chars, where there is such a column, is that of the new text."""
-    gone = removals(documents).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
+    gone = removals(documents, shingle).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
     rows = documents.select(F.struct("*").alias("_row"))
     joined = rows.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_doc")), "left")
     kept = F.array_join(F.filter(F.split(F.col("_row.text"), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")

@@ -35,6 +35,12 @@ def test_line_dedup(docs):
     assert line_dedup.cleaned(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_rows_without_doc_id(spark, tmp_path):
+    spark.createDataFrame([(None, "one two\none two"), (1, "three")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_removed"], r["removed"]) for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {None: (1, "1"), 1: (0, "")}
+
+
 def test_decontamination(docs, benchmark):
     got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, benchmark).collect()}
     assert got[1, 0] == got[2, 0] == got[8, 0] == (0, []) and got[3, 1] == (1, [10])

@@ -189,9 +189,9 @@ def cleaned(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document: its lines, those that go, those of them for similarity, and the numbers of the lines that go."""
     documents = read(spark, sf_dir, "documents")
-    gone = removals(documents).groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.count(F.when(F.col("similar"), 1)).alias("n_similar"), F.array_join(F.transform(F.sort_array(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("removed"))
+    gone = removals(documents).groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("n_removed"), F.count(F.when(F.col("similar"), 1)).alias("n_similar"), F.array_join(F.transform(F.sort_array(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("removed"))
     docs = documents.select("doc_id", F.size(F.split(text_of("text"), "\n")).cast("bigint").alias("n_lines"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("removed", F.lit("")).alias("removed"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("removed", F.lit("")).alias("removed"))
 
 
 OP1_SQL = r"""

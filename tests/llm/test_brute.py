@@ -127,10 +127,20 @@ def test_components_of_a_long_path(spark):
     assert {got[i] for i in range(151)} == {0} and {got[i] for i in range(151, 301)} == {151} and got[500] == got[400] == 400
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@pytest.mark.parametrize("hot", [4, 512])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 @given(st.integers(0, 10**6))
-def test_line_dedup_against_all_pairs(spark, seed):
-    """Near copies of lines of many lengths, words rare and frequent."""
+def test_line_dedup_against_all_pairs(spark, hot, seed):
+    """Near copies of lines of many lengths, words rare and frequent; nearly all words hot, and none."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "HOT", hot)
+        patch.setattr(line_dedup, "LONG", 16 if seed % 2 else 256)
+        patch.setattr(line_dedup, "NARROW", 20 if seed % 2 else 320)
+        patch.setattr(line_dedup, "BROADCAST_ROWS", 0 if seed % 3 else 500_000)
+        _line_dedup_against_all_pairs(spark, seed, 1 if seed % 4 < 2 else 5)
+
+
+def _line_dedup_against_all_pairs(spark, seed, shingle):
     rng = np.random.default_rng(seed)
     words = [f"{'abcdefgh'[i % 8] * (1 + i % 9)}{i}" for i in range(60)]
     base = [[words[int(x)] for x in rng.zipf(1.5, n) % 60] for n in (1, 3, 5, 6, 9, 10, 14, 25, 60, 140)]
@@ -146,7 +156,7 @@ def test_line_dedup_against_all_pairs(spark, seed):
             lines.append(" ".join(x))
         rows.append((d, "\n".join([*lines, " "])))
     every = [((d, k), line) for d, t in rows for k, line in enumerate(t.split("\n")) if line.strip()]
-    tokens = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    tokens = lambda w: {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}
     sets = {line: tokens(line.split()) for _, line in every}
     want = set()
     for i, (at, line) in enumerate(every):
@@ -155,12 +165,12 @@ def test_line_dedup_against_all_pairs(spark, seed):
         near = any(other != line and a < first and 9 * len(sets[line] & sets[other]) >= 4 * (len(sets[line]) + len(sets[other])) for a, other in every)
         if same or near:
             want.add((*at, near))
-    got = {(r["doc_id"], r["line_no"], r["similar"]) for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {(r["doc_id"], r["line_no"], r["similar"]) for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle).collect()}
     assert got == want
 
 
 def test_pipeline_lines_by_words(spark):
-    """One changed word inside a line of 25 is a near copy by words, not by shingles; against all pairs."""
+    """One changed word inside a line of 25 is a near copy; against all pairs."""
     import corpus_pipeline
 
     rng = np.random.default_rng(4)
@@ -181,7 +191,6 @@ def test_pipeline_lines_by_words(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     stage = dict(corpus_pipeline.STAGES)["line dedup"]
     assert {r["doc_id"]: r["text"] for r in stage(spark, docs, SF).collect()} == {d: "\n".join(x) for d, x in want.items()}
-    assert line_dedup.removals(docs).count() < line_dedup.removals(docs, shingle=1).count()
 
 
 def test_packing_round_trip(spark):

@@ -1,18 +1,25 @@
 """Line dedup by an exact set-similarity join, all in DataFrame operations.
 
-A line's tokens are its shingles of so many words (all its words, if it has fewer), as 64-bit hashes; words are runs
-without white space. OP1_SQL holds op1 to shingles of SHINGLE words; in the pipeline each word is a token. A line occurrence goes if an earlier one, by doc_id and then line number, has the same text, or if
-the Jaccard similarity of its tokens and another, earlier line's is at least THRESHOLD. Lines without words stay.
-
-1. Equal lines meet as one 64-bit key with its first occurrence; only keys, never texts, are grouped.
-2. Similar lines share at least m tokens within prefixes that are m - 1 longer than one shared token would need, whatever
-   the order of all tokens; here it is that of their hashes. A line with fewer than m prefix tokens that another line's
-   prefix has too can't be similar to one; the rest, a small share, go on.
-3. Of those, tokens are counted and ordered by rarity. A line is indexed under the tokens of its rarity prefix, with
-   position and size, and pairs pass the length filter, the positional filter, and at last the exact Jaccard test. A pair
-   is tested at the first token alone that both are indexed under.
-4. Each token's earliest line is tried first, against all others that share the token, which is linear in the group
-   and settles groups of near copies. Lines that it doesn't settle meet the token's other earlier lines of like size.
+A line's tokens are its shingles of so many words, or with shingle=1 its distinct words; words are runs without white
+space, and a line of fewer words is one shingle. A line occurrence goes if an earlier one, by doc_id and then line number,
+has the same text, or if the Jaccard similarity of its tokens and another, earlier line's is at least THRESHOLD. Lines
+without words stay. op1 takes shingles of SHINGLE words, which its SQL fixes; the pipeline takes words.
+
+1. Equal lines meet under 128 bits of hashes with their first occurrence; only keys, never texts, are grouped.
+2. Nearly all shingles are rare, so most lines end here: similar lines share at least m tokens within prefixes that are
+   m - 1 longer than one shared token would need, whatever the order of all tokens; here it is that of their hashes. A line
+   with fewer than m prefix tokens that another line's prefix has too can't be similar to one. (Words recur too much.)
+3. Tokens of the lines that are left are ordered by rarity: by the number of lines that hold a token of their bucket (of
+   BUCKETS, so the table of them has a fixed size), then by hash. Any order that all lines share gives the same result;
+   this one keeps groups small.
+4. A line is indexed under the tokens of its prefix, of which a similar line's prefix shares the first that both have.
+   Pairs that meet pass the length filter, the positional filter and a bound on the symmetric difference, which the parity
+   of 128 hashed bits gives; what is left is verified on the words or shingles themselves.
+5. A token in HOT lines or more isn't a key by itself. The prefix argument holds again behind it: the next token that both
+   lines share is within the rest of the prefix and one more, so such tokens are keys with each of those. Lines of LONG
+   tokens or more have the token alone for a key, of a kind that only they share.
+6. Of a hot key's group the earliest line is tried first, against all others, which is linear and settles groups of near
+   copies. Lines that it doesn't settle meet the group's other lines of like size. Other groups have fewer than HOT lines.
 
 Defined cases: a null text is empty, one line without words; rows with the same doc_id and line number count as one
 occurrence if the lines are equal, else the smaller key is earlier; null doc_ids come first; an empty table gives no
@@ -29,12 +36,21 @@ from vecspark.llm.common import drop_table, read, table, text_of
 SHINGLE = 5
 #: The least Jaccard similarity, as a fraction.
 THRESHOLD = (4, 5)
-#: Tables of at most so many rows of a few numbers are broadcast after they have been counted; larger ones are shuffled.
-#: 101 MB is the largest broadcast measured, on check_l; a row takes some 90 bytes as a hash table, so 180 MB is the bound.
-BROADCAST_ROWS = 2_000_000
-_BLANK = " \t\r\f\x0b"
+#: Tables of at most so many rows of a few numbers are broadcast after they have been counted (some 90 bytes a row as a
+#: hash table, so 45 MB); larger ones are shuffled.
+BROADCAST_ROWS = 500_000
 #: Tokens that a line's prefix must share: LEAST and one more for EVERY tokens; each makes the prefix one longer.
 LEAST, EVERY = 2, 16
+#: Buckets of words by hash; the table of their levels is one byte each.
+BUCKETS = 1 << 18
+#: Levels are so many to a doubling; a word whose bucket is in HOT lines or more is hot.
+STEPS = 3
+HOT = 512
+#: Lines of fewer words than NARROW have pair keys for hot words, those of LONG or more have single ones; NARROW is LONG by THRESHOLD.
+LONG, NARROW = 256, 320
+#: Lines of more tokens have parities of 128 bits, others of 64.
+WIDE = 64
+_BLANK = " \t\r\f\x0b"
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -43,29 +59,42 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, key) of lines with words."""
+    """(doc_id, line_no, line, key, check) of lines with words; key and check are two hashes of the line."""
     found = documents.select("doc_id", F.posexplode(F.split(text_of("text"), "\n")).alias("line_no", "line"))
-    return found.where(F.btrim("line", F.lit(_BLANK)) != "").withColumn("key", F.xxhash64("line"))
+    return found.where(F.btrim("line", F.lit(_BLANK)) != "").withColumns({"key": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
 
 
-def _words(line: Column) -> Column:
-    """A hash for each word. Lines whose words are apart by single spaces, as most are, need no pattern."""
+def words(line: Column) -> Column:
+    """The words of a line. Lines whose words are apart by single spaces, as most are, need no pattern."""
     odd = F.contains(line, F.lit("  "))
     for c in _BLANK[1:]:
         odd = odd | F.contains(line, F.lit(c))
     trimmed = F.btrim(line, F.lit(_BLANK))
-    return F.transform(F.when(odd, F.split(trimmed, f"[{_BLANK}]+")).otherwise(F.split(trimmed, " ")), lambda w: F.xxhash64(w))
+    return F.when(odd, F.split(trimmed, f"[{_BLANK}]+")).otherwise(F.split(trimmed, " "))
 
 
-def with_tokens(found: DataFrame, shingle: int) -> DataFrame:
-    """found (..., line) with `tokens`, sorted and distinct, in place of `line`.
+def hashed(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts (..., line) with h, the hashes of the line's tokens, each once, in place of line.
 
-    The generator holds the words, so they aren't computed again for each shingle.
+    The generators hold what is computed, so that it isn't computed again for each use.
     """
-    rest = [c for c in found.columns if c != "line"]
-    h = F.col("_h")
-    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - shingle, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(shingle)]))
-    return found.select(*rest, F.explode(F.array(_words(F.col("line")))).alias("_h")).select(*rest, F.sort_array(F.array_distinct(shingles)).alias("tokens"))
+    rest = [c for c in texts.columns if c != "line"]
+    of_words = F.transform(words(F.col("line")), lambda w: F.xxhash64(w))
+    if shingle == 1:
+        return texts.select(*rest, F.explode(F.array(F.array_distinct(of_words))).alias("h"))
+    w = F.col("_w")
+    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(shingle)]))
+    return texts.select(*rest, F.explode(F.array(of_words)).alias("_w")).select(*rest, F.explode(F.array(F.array_distinct(shingles))).alias("h"))
+
+
+def spelled(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts (..., line) with w, the line's tokens as texts, each once, in place of line."""
+    rest = [c for c in texts.columns if c != "line"]
+    if shingle == 1:
+        return texts.select(*rest, F.array_distinct(words(F.col("line"))).alias("w"))
+    w = F.col("_w")
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, shingle), " "))
+    return texts.select(*rest, F.explode(F.array(words(F.col("line")))).alias("_w")).select(*rest, F.array_distinct(shingles).alias("w"))
 
 
 def _needed(n: Column) -> Column:
@@ -78,98 +107,162 @@ def _prefix(n: Column) -> Column:
     return n - _needed(n) + 1
 
 
-def _alike(n: Column, m: Column) -> Column:
-    """The length filter."""
-    a, b = THRESHOLD
-    return (n * b >= m * a) & (m * b >= n * a)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (later, earlier) of keys whose token sets are similar."""
-    a, b = THRESHOLD
-    later = sets.select(F.col("key").alias("later"), F.col("tokens").alias("_x"))
-    earlier = sets.select(F.col("key").alias("earlier"), F.col("tokens").alias("_y"))
-    both = pairs.join(later, "later").join(earlier, "earlier")
-    overlap = F.size(F.array_intersect("_x", "_y"))
-    return both.where(overlap * (a + b) >= (F.size("_x") + F.size("_y")) * a).select("later", "earlier")
-
-
-def suspects(keyed: DataFrame) -> DataFrame:
-    """keyed (key, tokens), one row a key -> a table (key): keys whose prefix shares enough tokens with other keys'.
+def suspects(once: DataFrame, shingle: int) -> DataFrame:
+    """once (key, line), one row a text -> a table (key): keys whose prefix shares enough tokens with other keys'.
 
     A similar line may have as few as _needed(n) tokens, and its prefix is longer by that line's m - 1, so that is what
     the prefix is bound to share, or all that the line needs. Tokens are counted with partial sums and then looked up, so
     no task gathers a token's lines.
     """
-    spark = keyed.sparkSession
-    n = F.size("tokens")
+    spark = once.sparkSession
+    n = F.size("h")
     longer = F.floor(n / EVERY).cast("int") + (LEAST - 1)
     need = F.least(F.floor(_needed(n) / EVERY).cast("int") + LEAST, _needed(n))
-    lines = table(spark, keyed.select("key", need.alias("need"), F.slice("tokens", F.lit(1), _prefix(n) + longer).alias("prefix")), "prefixes")
-    entries = lines.select("key", "need", F.explode("prefix").alias("token"))
+    held = table(spark, hashed(once, shingle).select("key", need.alias("need"), F.slice(F.sort_array("h"), F.lit(1), _prefix(n) + longer).alias("prefix")), "hash-prefixes")
+    entries = held.select("key", "need", F.explode("prefix").alias("token"))
     common = small(table(spark, entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "common"))
     found = entries.join(common, "token", "left_semi").groupBy("key", "need").agg(F.count("*").alias("n")).where("n >= need")
     out = table(spark, found.select("key"), "suspects")
-    drop_table(spark, lines)
+    drop_table(spark, held)
     return out
 
 
-def index(sets: DataFrame) -> DataFrame:
-    """sets (key, first, tokens) -> (token, key, first, n, i, ranked): a row for each token of a line's rarity prefix.
+def levels(texts: DataFrame, shingle: int) -> Column:
+    """The level of each bucket, a logarithm of the number of lines that hold its tokens: a constant of BUCKETS bytes."""
+    token = hashed(texts.select("line"), shingle).select(F.explode("h").alias("h"))
+    every = token.select(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"), F.lit(1).alias("one"))
+    counts = every.union(texts.sparkSession.range(BUCKETS).select("id", F.lit(0))).groupBy("bucket").agg(F.sum("one").alias("n"))
+    level = F.least(F.floor(F.log2(F.col("n") + 1) * STEPS), F.lit(127))
+    coded = counts.select((F.shiftleft("bucket", 8) + level).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return F.split(F.lit(coded.select(F.array_join(F.transform("x", lambda x: x.bitwiseAND(F.lit(255)).cast("string")), ",")).first()[0]), ",").cast("array<tinyint>")
+
+
+def _parity(h: Column, half: bool) -> Column:
+    """64 bits: of each, whether an odd number of the hashes fall on it. half: only of hashes whose seventh bit is set."""
+
+    def flip(bits: Column, x: Column) -> Column:
+        own = F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)) if half else F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+        return bits.bitwiseXOR(own)
 
-    i: the token's place in the line by rarity; ranked: the line's indexed tokens. Tokens of one line only come first in
-    the order and can't match, so they have places but no rows.
+    return F.aggregate(h, F.lit(0).cast("bigint"), flip)
+
+
+def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, first, n, all, half, s): a line's number of tokens, their parities, and its prefix and the token after it.
+
+    A token is its level, then 56 bits of its hash. Of lines of up to three tokens s is all. half is of lines of more than
+    WIDE tokens, whose parities need 128 bits.
     """
-    token = sets.select("key", F.explode("tokens").alias("token"))
-    rarity = token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = token.join(rarity, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
-    sized = sets.select("key", "first", F.size("tokens").alias("n")).join(shared, "key").where(F.size("s") >= _needed(F.col("n")))
-    rows = _prefix(F.col("n")) - (F.col("n") - F.size("s"))
-    ranked = F.transform(F.slice("s", F.lit(1), F.greatest(rows, F.lit(0))), lambda x: x["token"])
-    held = sized.select("key", "first", "n", (F.col("n") - F.size("s")).alias("own"), F.explode(F.array(ranked)).alias("ranked"))
-    return held.select("key", "first", "n", "own", "ranked", F.posexplode("ranked").alias("at", "token")).select("token", "key", "first", "n", (F.col("own") + F.col("at")).alias("i"), "ranked")
+    by_bucket = levels(texts, shingle)
+
+    def token(x: Column) -> Column:
+        found = F.coalesce(F.get(by_bucket, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), F.lit(0).cast("bigint"))
+        return F.shiftleft(found, 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+
+    n, h = F.size("h"), F.col("h")
+    some = F.slice(F.sort_array(F.transform("h", token)), F.lit(1), F.when(n <= 3, n).otherwise(_prefix(n) + 1))
+    half = F.when(n > WIDE, _parity(h, True)).otherwise(F.lit(0).cast("bigint"))
+    return hashed(texts.select("key", "first", "line"), shingle).select("key", "first", n.alias("n"), _parity(h, False).alias("all"), half.alias("half"), some.alias("s"))
+
+
+def _hot(token: Column) -> Column:
+    return F.shiftrightunsigned(token, 56) >= int(STEPS * (HOT.bit_length() - 1))
+
+
+def cold_keys(found: DataFrame) -> DataFrame:
+    """prefixes() -> (token, key, at, all, half): a row for each prefix token that isn't hot; at: size and position."""
+    p = found.where("n > 3").select("key", "n", "all", "half", F.posexplode(F.slice(F.col("s"), F.lit(1), _prefix(F.col("n")))).alias("i", "token"))
+    return p.where(~_hot(F.col("token"))).select("token", "key", _at(F.col("n"), F.col("i")).alias("at"), "all", "half")
+
+
+def hot_keys(found: DataFrame) -> DataFrame:
+    """prefixes() -> (token, key, at, all, half, first): hot prefix tokens, each with those that the next shared one is among."""
+    n = F.col("n")
+    last = F.get("s", F.when(n > 3, _prefix(n) - 1).otherwise(F.lit(0)))
+    some = found.where((n <= 3) | _hot(last))
+
+    def pairs(t: Column, i: Column) -> Column:
+        one = F.when(n >= LONG, F.array(F.xxhash64(F.lit(1), t))).otherwise(F.array().cast("array<bigint>"))
+        two = F.when(n < NARROW, F.transform(F.slice(F.col("s"), i + 2, _prefix(n) - i), lambda u: F.xxhash64(t, u))).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.when(_hot(t), F.concat(one, two)).otherwise(F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("token"), i.alias("i")))
+
+    whole = F.array(F.struct(F.xxhash64("s").alias("token"), F.lit(0).alias("i")))
+    entries = F.when(n <= 3, whole).otherwise(F.flatten(F.transform(F.slice(F.col("s"), F.lit(1), _prefix(n)), pairs)))
+    rows = some.select("key", "first", "n", "all", "half", F.explode(entries).alias("e"))
+    return rows.select(F.col("e.token").alias("token"), "key", _at(n, F.col("e.i")).alias("at"), "all", "half", "first")
+
+
+def _at(n: Column, i: Column) -> Column:
+    return F.shiftleft(n.cast("bigint"), 32).bitwiseOR(i.cast("bigint"))
 
 
 def _met(x: str, y: str) -> Column:
-    """Filters of a pair in the index: length; that it is met here first; and position, for only tokens from here on are shared."""
+    """Filters of a pair at a key: length; position, for if both have it first, only tokens from here on are shared; parity."""
     a, b = THRESHOLD
-    n, m, i, j = (F.col(f"{side}.{name}") for name in ("n", "i") for side in (x, y))
+    n, m = (F.shiftright(f"{side}.at", 32) for side in (x, y))
+    i, j = (F.col(f"{side}.at").bitwiseAND(F.lit((1 << 32) - 1)) for side in (x, y))
+    whole, part = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("all", "half"))
+    differ = F.when(F.least(n, m) > WIDE, F.bit_count(part) + F.bit_count(whole.bitwiseXOR(part))).otherwise(F.bit_count(whole))
     most = F.least(n - i, m - j)
-    here = F.get(F.array_intersect(F.col(f"{x}.ranked"), F.col(f"{y}.ranked")), F.lit(0)) == F.col("token")
-    return _alike(n, m) & (most * (a + b) >= (n + m) * a) & here
-
-
-def near(sets: DataFrame) -> DataFrame:
-    """sets: a table (key, first, tokens), first a (doc_id, line_no) struct -> (key) of those that an earlier one is similar to."""
-    spark = sets.sparkSession
-    found = table(spark, index(sets).select("token", F.struct("first", "key", "n", "i", "ranked").alias("x")), "index")
-    lead = table(spark, found.groupBy("token").agg(F.min("x").alias("y"), F.count("*").alias("lines")).where("lines > 1"), "leads")
-    led = found.join(lead, "token").where((F.col("x.key") != F.col("y.key")) & _met("x", "y"))
-    settled = table(spark, _verified(led.select(F.col("x.key").alias("later"), F.col("y.key").alias("earlier")).distinct(), sets).select(F.col("later").alias("key")).distinct(), "settled")
-    left = found.join(settled, F.col("x.key") == settled["key"], "left_anti").join(lead.where("lines > 2").select("token"), "token", "left_semi")
-    size = F.floor(F.log("x.n") / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
-    probes = left.select("token", "x", F.explode(F.array(size - 1, size, size + 1)).alias("size"))
-    others = found.select("token", F.col("x").alias("y"), size.alias("size"))
+    return (n * b >= m * a) & (m * b >= n * a) & (differ * (a + b) <= (n + m) * (b - a)) & (most * (a + b) >= (n + m) * a)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    x, y = F.col("x.key"), F.col("y.key")
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """pairs (a, b) of keys -> (key, check): lines that an earlier one is similar to, by the tokens themselves."""
+    spark = texts.sparkSession
+    pairs = table(spark, pairs, "pairs")
+    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
+    sets = table(spark, spelled(texts.join(named, "key", "left_semi").select("key", F.struct("first", "key", "check").alias("o"), "line"), shingle), "sets")
+    x, y = (sets.select(F.col("key").alias(side), F.col("o").alias(f"o{side}"), F.col("w").alias(f"w{side}")) for side in "ab")
+    a, b = THRESHOLD
+    like = F.size(F.array_intersect("wa", "wb")) * (a + b) >= (F.size("wa") + F.size("wb")) * a
+    later = pairs.join(x, "a").join(y, "b").where(like).select(F.greatest("oa", "ob").alias("o"))
+    return table(spark, later.select("o.key", "o.check").distinct(), "similar")
+
+
+def near(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts: a table (key, check, first, line), one row a text -> (key, check) of those that an earlier one is similar to."""
+    spark = texts.sparkSession
+    found = table(spark, prefixes(texts, shingle), "prefixes")
+    cold = cold_keys(found)
+    met = cold.alias("x").hint("merge").join(cold.alias("y"), "token").where((F.col("x.key") < F.col("y.key")) & _met("x", "y"))
+    candidates = _pairs(met)
+    every = hot_keys(found)
+    shared = table(spark, every.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
+    hot = table(spark, every.join(shared, "token", "left_semi"), "hot")
+    if hot.isEmpty():
+        return verified(candidates, texts, shingle)
+    lead = table(spark, hot.groupBy("token").agg(F.min(F.struct("first", "key", "at", "all", "half")).alias("y"), F.count("*").alias("lines")), "leads")
+    led = hot.select("token", F.struct("key", "at", "all", "half").alias("x")).join(lead, "token").where((F.col("x.key") != F.col("y.key")) & _met("x", "y"))
+    settled = verified(_pairs(led), texts, shingle)
+    left = hot.join(settled, "key", "left_anti").join(lead.where("lines > 2").select("token"), "token", "left_semi")
+    size = F.floor(F.log(F.shiftright("at", 32)) / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
+    probes = left.withColumn("size", F.explode(F.array(size - 1, size, size + 1)))
     order = lambda s: F.struct(F.col(f"{s}.first").alias("first"), F.col(f"{s}.key").alias("key"))
-    met = probes.join(others, ["token", "size"]).where((order("y") < order("x")) & _met("x", "y"))
-    rest = _verified(met.select(F.col("x.key").alias("later"), F.col("y.key").alias("earlier")).distinct(), sets).select(F.col("later").alias("key"))
-    return settled.union(rest).distinct()
+    rest = probes.alias("x").join(hot.withColumn("size", size).alias("y"), ["token", "size"]).where((order("y") < order("x")) & _met("x", "y"))
+    return verified(candidates.union(_pairs(rest)).distinct(), texts, shingle).union(settled).distinct()
 
 
 def removals(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, line_no, similar) of the line occurrences that go; similar: because of an earlier line with another text."""
     spark = documents.sparkSession
     every = lines(documents.select("doc_id", F.col("text").cast("string").alias("text")))
-    found = table(spark, every.select("doc_id", "line_no", "key"), "occurrences")
-    at = F.struct("doc_id", "line_no")
-    again = small(table(spark, found.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "again"))
+    found = table(spark, every.select("doc_id", "line_no", "key", "check"), "occurrences")
+    at, text = F.struct("doc_id", "line_no"), ["key", "check"]
+    twice = small(table(spark, found.groupBy(*text).agg(F.count("*").alias("n")).where("n > 1").select(*text), "twice"))
+    again = small(table(spark, found.join(twice, text, "left_semi").groupBy(*text).agg(F.min(at).alias("first")), "again"))
     is_first = F.col("first").isNull() | F.col("first").eqNullSafe(at)
-    once = every.join(again, "key", "left").where(is_first).select("key", "line")
-    suspect = small(suspects(with_tokens(once, shingle)))
-    own = every.join(suspect, "key", "left_semi").join(again, "key", "left").where(is_first).select("key", at.alias("first"), "line")
-    sets = table(spark, with_tokens(own, shingle).dropDuplicates(["key"]), "sets")
-    similar = small(table(spark, near(sets).withColumn("similar", F.lit(True)), "similar"))
-    decided = found.join(again, "key", "left").join(similar, "key", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
+    once = every.join(again, text, "left").where(is_first).select("key", "check", at.alias("first"), "line")
+    if shingle > 1:
+        once = once.join(small(suspects(once, shingle)), "key", "left_semi")
+    texts = table(spark, once.dropDuplicates(text) if shingle > 1 else once, "texts")
+    similar = small(table(spark, near(texts, shingle).withColumn("similar", F.lit(True)), "similar"))
+    decided = found.join(again, text, "left").join(similar, text, "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
     return decided.where(F.col("similar") | ~is_first).select("doc_id", "line_no", "similar").distinct()
 
 
@@ -209,5 +302,5 @@ g AS (SELECT o.doc_id, o.line_no, m.x IS NOT NULL AS alike FROM o JOIN f USING (
 r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE alike) AS n_similar, string_agg(line_no, ',' ORDER BY line_no) AS removed FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed,
        coalesce(n_similar, 0) AS n_similar, coalesce(removed, '') AS removed
-FROM documents d LEFT JOIN r USING (doc_id)
+FROM documents d LEFT JOIN r ON r.doc_id IS NOT DISTINCT FROM d.doc_id
 """

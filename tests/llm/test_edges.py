@@ -62,6 +62,48 @@ def test_simhash(docs):
     assert simhash.classes(docs.limit(0)).count() == 0 and simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_every_text(spark):
+    """Rows are decided by text, not by doc_id alone: of each class one row stays, whatever ids recur."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, c), (None, c), (9, c), (7, b), (None, "z z z z"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(simhash.deduplicate(df).collect(), key=str)
+    assert got == sorted([(1, a), (5, b), (9, c), (None, c), (None, "z z z z"), (3, None)], key=str)
+    found = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.classes(df).collect()}
+    assert sorted(found.values(), key=str) == sorted([1, 1, 5, 5, 9, 9, 3, 3, None], key=str)
+
+
+def test_simhash_with_a_hot_text(spark):
+    """Half of all rows are copies, and no join may count on a small side."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "copy of one text").otherwise(F.concat(F.lit("own text "), F.sha1(F.col("id").cast("string")), F.lit(" and "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = simhash.classes(docs).where("doc_id % 2 = 0").select("component_id").distinct().collect()
+        assert [r[0] for r in got] == [0]
+        html = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.com/x").alias("url"), F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("x"), 1000)).when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit("y"), 1000), (F.col("doc_id") % 15).cast("string"))).otherwise("small").alias("html"))
+        kinds = {r["page_id"]: r["refers_to"] for r in warc.decisions(html).collect()}
+        assert kinds[0] == kinds[2] == 3998 and kinds[3998] is None and kinds[5] == max(i for i in range(5, 4000, 10) if i % 15 == 5) and kinds[1] is None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_warc_of_blank_lines_and_long_pages(spark):
+    stream = __import__("io").BytesIO(b"\r\n" * 100_000 + warc.record(1, "http://x/", b"p" * 3_000_000, "response", None))
+    assert warc.header(stream)[1]["x-page-id"] == "1"
+    df = spark.createDataFrame([(1, "http://x/", "é" * 2_000_000)], "page_id bigint, url string, html string")
+    assert [r["payload_bytes"] for r in warc.read(*warc.archived(df)).collect()] == [4_000_000]
+
+
+def test_line_dedup_of_very_long_lines(spark):
+    """Two lines of 100,000 distinct words that differ in a few."""
+    x = [f"word{i}" for i in range(100_000)]
+    y = [f"other{i}" if i % 1000 == 0 else w for i, w in enumerate(x)]
+    df = spark.createDataFrame([(1, " ".join(x)), (2, " ".join(y)), (3, "short line")], "doc_id bigint, text string")
+    for shingle in (1, 5):
+        assert [(r["doc_id"], r["line_no"], r["similar"]) for r in line_dedup.removals(df, shingle).collect()] == [(2, 0, True)]
+
+
 def test_packing(docs):
     got = packing.packed(docs).collect()
     assert sum(r["length"] for r in got if r["doc_id"] == 1) == 1 and sum(1 for r in got if r["doc_id"] == 5) == 2

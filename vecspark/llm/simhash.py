@@ -7,8 +7,9 @@ Six blocks of bits: of two fingerprints that differ in three bits at most, three
 one of the 20 keys of three blocks (31 to 33 bits). Texts with the same fingerprint are one node from the start.
 
 Defined cases: a null or empty text has fingerprint 0 and is linked like any other; fewer than three words are one
-shingle; repeated rows are in one class; rows with null doc_id get the component of their fingerprint's other rows, or
-null if there is none; an empty table gives no rows; other columns are never looked at.
+shingle; repeated rows are in one class; texts are linked, not doc_ids, so rows with one doc_id and different texts are in
+classes of their own; rows with null doc_id are linked alike, and a class of such rows alone has a null component_id; an
+empty table gives no rows; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecspark.llm.common import bytes_of, read, table
+from vecspark.llm.common import bytes_of, join_hot, read, table
 from vecspark.llm.components import components
 
 BITS = 3
@@ -62,17 +64,19 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint): signed 64-bit, from whole texts."""
+def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fingerprint, more...): signed 64-bit, from whole texts."""
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = bytes_of(batch.column(1))
             whole, at = memoryview(data), off.tolist()
             got = [fingerprint(bytes(whole[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64()), *batch.columns[2:]], ["doc_id", "fingerprint", *more])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("fingerprint", T.LongType()), *rows.schema.fields[2:]]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def _forest(a: np.ndarray, b: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
@@ -100,7 +104,8 @@ def _forest(a: np.ndarray, b: np.ndarray | None, bits: int) -> list[tuple[int, i
 
 
 def links(nodes: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
-    """nodes (fingerprint, rep), one row a fingerprint -> edges (u, v) of reps that connect all within so many bits.
+    """nodes (fingerprint, rep), one row a fingerprint -> edges (u, v) of reps, in general numbers of the nodes, that connect
+    all within so many bits.
 
     Not all pairs: of each key's links a spanning forest is kept, so a group of g gives g - 1 edges a key or chunk pair.
     """
@@ -133,25 +138,38 @@ def links(nodes: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each document; component_id is the least doc_id that links reach."""
+    """(doc_id, fingerprint, root, component_id) of each document: the class's least fingerprint and its least doc_id."""
     spark = documents.sparkSession
     prints = table(spark, fingerprints(documents), "fingerprints")
-    nodes = table(spark, prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "nodes")
-    roots = components(links(nodes))
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    nodes = table(spark, prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes.select("fingerprint", F.col("fingerprint").alias("rep"))))
+    linked = nodes.join(roots, nodes["fingerprint"] == roots["node"]).select("fingerprint", "rep", "n", "root")
+    least = linked.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("component_id"))
+    found = table(spark, linked.join(least, linked["root"] == least["_root"]).select("fingerprint", "n", "root", "component_id"), "linked")
+    alone = nodes.join(found, "fingerprint", "left_anti").select("fingerprint", "n", F.col("fingerprint").alias("root"), F.col("rep").alias("component_id"))
+    return join_hot(prints, found.union(alone), "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """The documents, one of each class: that with the least doc_id. Rows without doc_id stay."""
+    """The documents, one of each class of texts: that with the least doc_id, of several such the least fingerprint.
+
+    Rows are told apart by doc_id and fingerprint. Rows without doc_id stay; of equal rows with the same doc_id one does.
+    """
     spark = documents.sparkSession
     found = table(spark, classes(documents), "classes")
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    kept = documents.join(gone, "doc_id", "left_anti").select(documents.columns)
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(documents.columns).union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(documents.columns))
+    own = F.struct("doc_id", "fingerprint")
+    keep = found.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(own).alias("kept")).select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.fingerprint").alias("fingerprint"))
+    gone = table(spark, found.where("doc_id IS NOT NULL").select("doc_id", "fingerprint").distinct().join(keep, ["doc_id", "fingerprint"], "left_anti"), "gone")
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = table(spark, twice, "twice")
+    rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"))
+    marks = gone.groupBy("doc_id").agg(F.lit(True).alias("_out")).join(twice.withColumn("_twice", F.lit(True)), "doc_id", "full").withColumnRenamed("doc_id", "_doc")
+    marked = rows.where("_doc IS NOT NULL").join(marks, "_doc", "left")
+    kept = marked.where("_out IS NULL AND _twice IS NULL").select("_row").union(rows.where("_doc IS NULL").select("_row"))
+    if not twice.isEmpty():  # rows whose doc_id occurs again are told apart by their texts, and equal ones merged
+        again = fingerprints(marked.where("_twice").select(F.col("_doc").alias("doc_id"), F.col("_row.text").alias("text"), "_row"), "_row")
+        kept = kept.union(again.join(gone, ["doc_id", "fingerprint"], "left_anti").groupBy("doc_id", "fingerprint").agg(F.first("_row").alias("_row")).select("_row"))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in documents.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
@@ -62,6 +64,19 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_hot(many: DataFrame, one: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """many joined with one, which has a row a key and in n how many rows of many that key has.
+
+    Keys that hold over a thousandth of all rows, a thousand of them at most, are broadcast, so their rows stay where they
+    are; the others are joined as the engine sees fit.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot, cold = one.where(F.col(n) * 1000 > total).drop(n), one.where(F.col(n) * 1000 <= total).drop(n)
+    met = many.join(F.broadcast(hot), key)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return met.select(rest.columns).union(rest)
+
+
 def text_of(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

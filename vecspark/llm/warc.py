@@ -67,18 +67,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
 
 
 def header(stream) -> tuple[bytes, dict[str, str]] | None:
-    """The raw header of the next record and its fields in lower case; None at the end of the stream."""
+    """The raw header of the next record, after any blank lines, and its fields in lower case; None at the end of the stream."""
     lines = []
-    while (line := stream.readline()) not in (b"\r\n", b"\n"):
-        if not line:
-            if any(x.strip() for x in lines):
-                raise ValueError("the archive ends within a header")
-            return None
-        lines.append(line)
-        if not line.strip():
-            lines.pop()
+    while (line := stream.readline()).strip() or line and not lines:
+        if line.strip():
+            lines.append(line)
     if not lines:
-        return header(stream)
+        return None
+    if not line:
+        raise ValueError("the archive ends within a header")
     if not lines[0].startswith(b"WARC/"):
         raise ValueError(f"no WARC record begins with {lines[0][:40]!r}")
     pairs = (x.decode("utf-8", "replace").partition(":") for x in lines[1:])
@@ -86,14 +83,20 @@ def header(stream) -> tuple[bytes, dict[str, str]] | None:
 
 
 def decisions(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, html, record_type, refers_to); only digests and ids of payloads that occur again are joined."""
+    """(page_id, url, html, record_type, refers_to).
+
+    Pages with small payloads are in no join. Payloads that very many pages share are looked up where those pages are.
+    """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    digest = F.when(F.octet_length("html") >= least, F.concat(F.sha1(F.col("html").cast("binary")), F.octet_length("html").cast("string")))
-    rows = rows.withColumn("_digest", digest)
-    again = table(pages.sparkSession, rows.where("_digest IS NOT NULL").groupBy("_digest").agg(F.max("page_id").alias("_keeper"), F.count("*").alias("_n")).where("_n > 1 AND _keeper IS NOT NULL").select(F.col("_digest").alias("_same"), "_keeper"), "digests")
-    joined = rows.join(again, rows["_digest"] == again["_same"], "left")
+    large = rows.where(F.octet_length("html") >= least).withColumn("_digest", F.concat(F.sha1(F.col("html").cast("binary")), F.octet_length("html").cast("string")))
+    again = table(pages.sparkSession, large.groupBy("_digest").agg(F.max("page_id").alias("_keeper"), F.count("*").alias("n")).where("n > 1 AND _keeper IS NOT NULL"), "digests")
     other = F.col("_keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keeper"))
-    return joined.select("page_id", "url", "html", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("_keeper")).alias("refers_to"))
+    total = again.agg(F.sum("n")).first()[0] or 0
+    hot, cold = F.broadcast(again.where(F.col("n") * 1000 > total)), again.where(F.col("n") * 1000 <= total).withColumnRenamed("_keeper", "_other")
+    joined = large.join(hot.select("_digest", "_keeper"), "_digest", "left").join(cold.select("_digest", "_other"), "_digest", "left").withColumn("_keeper", F.coalesce("_keeper", "_other"))
+    decided = joined.select("page_id", "url", "html", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("_keeper")).alias("refers_to"))
+    rest = rows.where(F.octet_length("html") < least)
+    return decided.union(rest.select("page_id", "url", "html", F.lit("response"), F.lit(None).cast("bigint")))
 
 
 def write(decided: DataFrame, folder: str) -> DataFrame:

@@ -289,6 +289,44 @@ def test_toxic_clauses():
     assert lexicon.features("idiot " * 200_000)[0] == 1_000_000
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(toxicity.ALPHABET, max_size=20))
+def test_composed_transducers(symbols):
+    """The composition writes what the three transducers write one after another; and what they write follows the rules."""
+    parts = toxicity._negation(), toxicity._report(), toxicity._target()
+    states, whole, quoted, left = [t.start for t in parts], toxicity.GRAMMAR.start, False, 0
+    for x in symbols:
+        out = x
+        for k, t in enumerate(parts):
+            states[k], out = t.step(states[k], out)
+        whole, got = toxicity.GRAMMAR.step(whole, x)
+        want = {"I": "J", "T": "U"}[x] if x in "IT" and quoted and not left else x.lower() if x in "IT" and left else x
+        assert got == out == want
+        quoted, left = quoted or x == "R", toxicity.SCOPE if x == "N" else max(left - 1, 0)
+    assert whole[1] == ("G" in symbols)
+
+
+def test_toxicity_readings():
+    """A denied or quoted insult alone is not toxic where a plain one is; threats and targets weigh."""
+    rng = np.random.default_rng(0)
+    lexicon = toxicity.Lexicon({"idiot": 6.0}, dict(toxicity.THREATS))
+    texts = [f"some words {i} idiot here" if y else f"clean words {i}" for i, y in enumerate(rng.integers(0, 2, 400).tolist())]
+    marks = np.array([float("idiot" in t) for t in texts])
+    model = toxicity.Model(lexicon, toxicity.fitted(np.array([lexicon.features(t) for t in texts]), marks))
+    s = model.score
+    assert s("This is an idiot.") > 0.5 > s("This is not an idiot.") and s("They said: an idiot.") < s("An idiot.") <= s("You idiot.")
+    assert s("I will hurt you") < s("I will kill you") and s("") < 0.5 and s("not " * 1000 + "idiot") < 0.5
+
+
+def test_toxicity_in_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({"idiot": 5.0}, {})
+    begun = time.process_time()
+    assert lexicon.features("an idiot. " * 200_000)[0] == 5.0
+    assert time.process_time() - begun < 10
+
+
 def test_toxicity_held_out(spark):
     sf = f"{DATA}/sf0.1"
     got = toxicity.op10_toxicity(spark, sf).join(common.read(spark, sf, "labels"), "doc_id").where("held_out").select("predicted", "toxic").collect()

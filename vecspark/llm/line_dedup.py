@@ -37,8 +37,8 @@ SHINGLE = 5
 #: The least Jaccard similarity, as a fraction.
 THRESHOLD = (4, 5)
 #: Tables of at most so many rows of a few numbers are broadcast after they have been counted (some 90 bytes a row as a
-#: hash table, so 45 MB); larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: hash table, so 180 MB); larger ones are shuffled.
+BROADCAST_ROWS = 2_000_000
 #: Tokens that a line's prefix must share: LEAST and one more for EVERY tokens; each makes the prefix one longer.
 LEAST, EVERY = 2, 16
 #: Buckets of words by hash; the table of their levels is one byte each.

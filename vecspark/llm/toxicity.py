@@ -1,19 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer reads word forms into the classes insult, threat, target, negation, report and other; its insult
-and threat entries are whole words or word beginnings, weighted by their log-odds among labelled texts, beside a fixed
-English list with prior counts. Over a clause's classes run three composed transducers: negation takes an insult or
+A lexical transducer reads word forms into the classes insult, threat, target, negation, report and other. Its insult
+entries are whole words or word beginnings, weighted by their log-odds among labelled texts; an entry must hold in either
+half of the rows that are learned from, so that accidental ones fall. Its threats are a fixed list with weights of their
+own, moved by the labels. Over a clause's classes run three composed transducers: negation takes an insult or
 threat in the three words after it as denied, report takes what follows in the clause as quoted, and target marks the
 clause as aimed at someone. What scores is a matched clause: its summed weights by reading (plain, aimed, denied,
 quoted, threat, aimed threat). A text's score is the logistic of its strongest clause in each reading, with coefficients
-drawn towards fixed ones, so that readings that labels don't show keep their sense.
+drawn towards fixed ones and kept in order: what is denied or quoted counts at most MOST_DENIED or MOST_QUOTED of what is
+said plainly, and what is aimed at someone at least as much. A denied insult alone makes no text toxic.
 
 Labels of rows whose crc32(doc_id as text) mod 5 is not 0 are learned from, FIT_ROWS of them at most, taken in the order
 of a hash of doc_id. Nothing but the text goes into a score.
 
 Defined cases: a null or empty text has no clause and gets the score of its absence; without usable labels of both kinds
 there are no insult entries and the fixed threats and coefficients stand alone; several labels of a document count as toxic if one does; repeated rows are
-scored alike; other columns don't matter.
+scored alike, and of rows with the same doc_id one is learned from; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,18 +37,24 @@ FIT_ROWS = 12_000
 BEGINNINGS = range(3, 8)
 #: An entry's log-odds less 1.64 standard errors must reach this.
 LEAST_WEIGHT = 2.0
-MOST_ENTRIES = 2_000
+#: In either half of the rows learned from, an entry must be in so many toxic texts and have log-odds of so much.
+LEAST_HALF, HALF_WEIGHT = 2, 1.5
 PRIOR_COUNT = 3.0
-THREATS = "kill murder destroy hurt strangle stab shoot exterminate".split()
+THREATS = {"kill": 3.5, "murder": 3.5, "exterminate": 3.5, "strangle": 3.5, "stab": 3.0, "shoot": 2.5, "destroy": 2.0, "hurt": 2.0}
 TARGETS = "you your yours yourself u he she they him her them these those people tu toi vous du dich dir sie ihr euch usted ustedes tú ella ellos".split()
 NEGATIONS = "not no never nor neither cannot isn aren wasn don doesn without nicht kein keine keinen nie pas jamais ni nunca jamás sin".split()
 REPORTS = "said says say called calls wrote writes quote quoted quoting claimed claims reported reports told according sagte sagt nannte schrieb dit disait écrit dijo dice llamó escribió".split()
 SCOPE = 3
 READINGS = ("plain", "aimed", "denied", "quoted", "threat", "aimed threat")
 #: The coefficients that the fitted ones are drawn to: of READINGS, then of the logarithm of matched clauses, then the constant.
-CENTRE = np.array([1.2, 1.5, 0.3, 0.4, 0.8, 1.4, 0.2, -3.0])
+CENTRE = np.array([1.2, 1.5, 0.1, 0.3, 0.8, 1.4, 0.2, -3.0])
 #: The constant stays below this, so a text without a matched clause is never toxic, however few the labels.
 MOST_CONSTANT = -0.5
+#: Of the coefficient of the plain reading, the most that the denied and the quoted one may have.
+MOST_DENIED, MOST_QUOTED = 0.1, 0.3
+#: The most that an entry weighs.
+MOST_WEIGHT = 6.0
+SEPARATORS = ".!?;\n"
 CLAUSE_END = re.compile(r"[.!?;\n]")
 WORD = re.compile(r"\w+")
 
@@ -152,7 +160,7 @@ class Lexicon:
         for last, _ in self.automaton.iter(text):
             if last < upto:
                 continue
-            start = max(text.rfind(x, 0, last + 1) for x in ".!?;\n") + 1
+            start = max(text.rfind(x, max(upto, 0), last + 1) for x in SEPARATORS) + 1
             end = CLAUSE_END.search(text, last)
             upto = end.start() if end else len(text)
             sums, state = [0.0] * len(READINGS), GRAMMAR.start
@@ -193,32 +201,44 @@ def learned(texts: Iterable[tuple[int, list[str]]]) -> Lexicon:
             if k <= len(word):
                 yield f"{word[:k]}*"
 
-    told = {x: sum(number.get(x, -1) in own for own in toxic) for x in THREATS}
-    pos: Counter[str] = Counter()
-    for own in toxic:
-        pos.update({f for w in own.tolist() for f in forms(words[w])})
-    pos = Counter({x: n for x, n in pos.items() if n >= 3})
-    of_word = {i: own for i, w in enumerate(words) if (own := [f for f in forms(w) if f in pos or f in told])}
-    neg: Counter[str] = Counter()
-    for own in clean:
-        neg.update({f for w in own.tolist() for f in of_word.get(w, ())})
-
-    def odds(a: float, b: float, n1: float) -> tuple[float, float]:
-        w = float(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (len(clean) + 1)))
+    def counted(rows: list[np.ndarray], of_word: dict[int, list[str]]) -> list[Counter[str]]:
+        """In how many rows of either half each form is."""
+        out: list[Counter[str]] = [Counter(), Counter()]
+        for k, own in enumerate(rows):
+            out[k % 2].update({f for w in own.tolist() for f in of_word.get(w, ())})
+        return out
+
+    pos = counted(toxic, {i: [*forms(w)] for i, w in enumerate(words)})
+    both = {x for x, n in pos[0].items() if n >= LEAST_HALF and pos[1][x] >= LEAST_HALF} | {*THREATS}
+    of_word = {i: own for i, w in enumerate(words) if (own := [f for f in forms(w) if f in both])}
+    neg = counted(clean, of_word)
+    size = [[len(rows[k::2]) for k in (0, 1)] for rows in (toxic, clean)]
+
+    def odds(a: float, b: float, n1: float, n0: float) -> tuple[float, float]:
+        w = float(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
         return w, w - 1.64 * float(np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
 
     known = bool(toxic and clean)
-    fixed = {x: odds(n + PRIOR_COUNT, neg[x], len(toxic) + PRIOR_COUNT)[0] if known else 3.0 for x, n in told.items()}
-    threats = {x: min(w, 6.0) for x, w in fixed.items() if w > 0.5}
+    threats = {}
+    for x, prior in THREATS.items():  # the prior weight, as if seen in PRIOR_COUNT texts, moved by what the labels say
+        n = pos[0][x] + pos[1][x] + neg[0][x] + neg[1][x]
+        told = odds(pos[0][x] + pos[1][x], neg[0][x] + neg[1][x], len(toxic), len(clean))[0] if known and n else prior
+        threats[x] = min((PRIOR_COUNT * prior + n * told) / (PRIOR_COUNT + n), MOST_WEIGHT)
+    threats = {x: w for x, w in threats.items() if w > 0.5}
+    strong: dict[str, tuple[float, float]] = {}
+    for x in both - {*THREATS} if known else ():
+        halves = [odds(pos[k][x], neg[k][x], size[0][k], size[1][k])[0] for k in (0, 1)]
+        whole = odds(pos[0][x] + pos[1][x], neg[0][x] + neg[1][x], len(toxic), len(clean))
+        if min(halves) >= HALF_WEIGHT and whole[1] >= LEAST_WEIGHT:
+            strong[x] = whole
     insults: dict[str, float] = {}
-    strong = {x: w for x in pos if x not in fixed and (w := odds(pos[x], neg[x], len(toxic)))[1] >= LEAST_WEIGHT} if known else {}
     uncovered = [{f for w in own.tolist() for f in of_word.get(w, ()) if f in strong} for own in toxic]
     cover = Counter(f for own in uncovered for f in own)
-    while cover and len(insults) < MOST_ENTRIES:
+    while cover:
         x, n = max(cover.items(), key=lambda p: (p[1] * strong[p[0]][1], p[0]))
         if n < 1:
             break
-        insults[x] = min(strong[x][0], 6.0)
+        insults[x] = min(strong[x][0], MOST_WEIGHT)
         for own in uncovered:
             if x in own:
                 cover.subtract(own)
@@ -226,19 +246,29 @@ def learned(texts: Iterable[tuple[int, list[str]]]) -> Lexicon:
     return Lexicon(insults, threats)
 
 
+def ordered(b: np.ndarray) -> np.ndarray:
+    """The nearest coefficients that keep the readings in order."""
+    b = np.maximum(b[:-1], 0.0).tolist() + [min(b[-1], MOST_CONSTANT)]
+    b[0] = max(b[0], CENTRE[0] / 2)
+    b[1], b[2], b[3] = max(b[1], b[0]), min(b[2], MOST_DENIED * b[0]), min(b[3], MOST_QUOTED * b[0])
+    b[5] = max(b[5], b[4])
+    return np.array(b)
+
+
 def fitted(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Logistic coefficients by Newton steps, drawn to CENTRE by a ridge."""
-    x, b = np.column_stack([features, np.ones(len(features))]), CENTRE.copy()
+    """Logistic coefficients by Newton steps, drawn to CENTRE by a ridge, each step followed by a return to their order."""
+    x, b = np.column_stack([features, np.ones(len(features))]), ordered(CENTRE)
     pull = np.diag([1.0] * (len(CENTRE) - 1) + [0.01])
     if len({*labels.tolist()}) < 2:
         return b
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (labels - p) - pull @ (b - CENTRE))
-        b = b + step / max(1.0, np.abs(step).max() / 2)
-        if np.abs(step).max() < 1e-6:
+        new = ordered(b + step / max(1.0, np.abs(step).max() / 2))
+        if np.abs(new - b).max() < 1e-6:
             break
-    return np.concatenate([np.maximum(b[:-1], 0.0), np.minimum(b[-1:], MOST_CONSTANT)])
+        b = new
+    return b
 
 
 def held_out(doc_id: Column) -> Column:
@@ -250,7 +280,7 @@ def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     spark = documents.sparkSession
     ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = table(spark, documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic"), "fit")
+    rows = table(spark, documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "fit")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,7 +42,7 @@ def test_flat_order_ties_and_query_errors(spark):
         index.search([1e39, 0], 1)
 
 
-@pytest.mark.parametrize(("vectors", "metric", "error", "text"), [([], L2, EmptyDataset, "at least one row"), ([[]], L2, EmptyVector, "greater than zero"), ([[1], [1, 2]], L2, DimensionMismatch, "expected dimension 1, got 2"), ([[1, 2], [1, float("inf")]], L2, NonFiniteValue, "vector 1 contains a non-finite value at dimension 1"), ([[1, float("nan")], [1]], L2, NonFiniteValue, "vector 0"), ([[1, 0], [0, 0]], COSINE, ZeroNorm, "vector 1 has zero norm")])
+@pytest.mark.parametrize(("vectors", "metric", "error", "text"), [([], L2, EmptyDataset, "one or more"), ([[]], L2, EmptyVector, "one component"), ([[1], [1, 2]], L2, DimensionMismatch, "2 components where all have 1"), ([[1, 2], [1, float("inf")]], L2, NonFiniteValue, "component 1 of vector 1"), ([[1, float("nan")], [1]], L2, NonFiniteValue, "of vector 0"), ([[1, 0], [0, 0]], COSINE, ZeroNorm, "vector 1 is all zeros")])
 def test_rejected_data(spark, vectors, metric, error, text):
     with pytest.raises(error, match=text):
         FlatIndex(of(spark, vectors), metric)
@@ -226,3 +226,24 @@ def test_duplicate_ids(spark):
 
     with pytest.raises(DuplicateId, match="duplicate vector id 1"):
         VectorTable.from_rows(spark, [(1, [1, 0], "left"), (1, [0, float("nan")], "right")])
+
+
+def test_ivf_saved_and_reopened(spark, tmp_path):
+    data = of(spark, [[float(i), float(i % 7) + 1] for i in range(60)])
+    index = IvfFlatIndex(data, L2, IvfFlatConfig(4, 2, 3, 7))
+    index.save(f"{tmp_path}/index")
+    again = IvfFlatIndex.open(spark, f"{tmp_path}/index")
+    assert again.config == index.config and again.metric is index.metric and again.dataset.rows == 60
+    for q in ([3.3, 2.0], [40.5, 1.0]):
+        assert again.search(q, 7).collect() == index.search(q, 7).collect()
+    assert again.insert(spark.createDataFrame([(99, [3.3, 2.0])], "row bigint, embedding array<float>")) == 1
+    assert rows(again.search([3.3, 2.0], 1)) == [99]
+
+
+def test_pq_batch_rejects_what_single_search_rejects(spark):
+    index = IvfPqIndex(of(spark, [[3e38, 3e38], [2.5e38, 2.5e38]]), L2, IvfPqConfig(2, 2, 2, 1, 2, 2, 7))
+    queries = spark.createDataFrame([(0, [-3e38, -3e38])], "qid bigint, embedding array<float>")
+    with pytest.raises(InvalidConfig, match="representable"):
+        index.search([-3e38, -3e38], 2).collect()
+    with pytest.raises(InvalidConfig, match="representable"):
+        index.search_batch(queries, 2).collect()

@@ -2,6 +2,7 @@
 
 import pytest
 
+from vecspark.errors import DimensionMismatch, DuplicateId
 from vecspark.operators.graph import HnswConfig, NswConfig
 from vecspark.operators.ivf import IvfFlatConfig
 from vecspark.operators.pq import IvfPqConfig
@@ -117,13 +118,48 @@ def test_index_statements_and_methods(spark):
         s.sql(f"SET vector_index_method = {method}")
         assert shown in s.explain(text)
         assert set(ids(s.sql(text))) <= {0, 1, 2}
-    assert s.tables["t1"].insert(spark.createDataFrame([(100, [1.1, 1.0, 1.0])], "id bigint, embedding array<float>")) == 1
-    s.register("t1", s.tables["t1"])
+    assert s.sql("INSERT INTO t1 VALUES (100, array(1.1, 1.0, 1.0))").collect() == [(1,)]
     assert ids(s.sql(text)) == [1, 100]
     s.sql("DROP INDEX t1ivf ON t1")
     assert "name=t1hnsw" in s.explain(text)
 
 
+def test_statements_that_change_rows(spark):
+    """The view, every index and exact search see the same rows."""
+    s = VectorSession(spark)
+    s.sql("CREATE TABLE v1 (id BIGINT, v VECTOR(3), note STRING)")
+    assert s.sql("SELECT * FROM v1").count() == 0
+    with pytest.raises(DimensionMismatch):
+        s.sql("INSERT INTO v1 VALUES (1, array(1.0, 2.0), 'x')")
+    values = ", ".join(f"({i}, array({i}.0, 1.0, 1.0), 'n{i}')" for i in range(20))
+    assert s.sql(f"INSERT INTO v1 VALUES {values}").collect() == [(20,)]
+    s.sql("CREATE INDEX i ON v1 USING ivfflat (v vector_l2_ops) WITH (lists = 4, probe_lists = 4)")
+    s.sql("CREATE INDEX h ON v1 USING hnsw (v vector_l2_ops) WITH (m = 5)")
+    near = "SELECT id FROM v1 ORDER BY array_distance(v, array(7.2, 1.0, 1.0)) LIMIT 3"
+    assert "name=i" in s.explain(near) and ids(s.sql(near)) == [7, 8, 6]
+    assert s.sql("DELETE FROM v1 WHERE id = 8").collect() == [(1,)]
+    assert s.sql("UPDATE v1 SET v = array(7.1, 1.0, 1.0) WHERE id = 19").collect() == [(1,)]
+    assert s.sql("INSERT INTO v1 (id, v) SELECT id + 100, v FROM v1 WHERE id = 7").collect() == [(1,)]
+    for method in ("ivfflat", "hnsw", "none"):
+        s.sql(f"SET vector_index_method = {method}")
+        got = ids(s.sql(near))
+        assert got[0] == 19 and {*got} == {19, 7, 107}  # 7 and 107 are equal
+    s.sql("SET vector_index_method = ''")
+    assert s.sql("SELECT count(*) FROM v1").first()[0] == 20 and s.tables["v1"].dataset.rows == 20
+    with pytest.raises(DuplicateId):
+        s.sql("INSERT INTO v1 (id, v) SELECT id, v FROM v1")
+
+
+def test_filtered_search(spark):
+    rows = [(i, [float(i), float(i % 7) + 1], str(i % 10)) for i in range(400)]
+    for config in (None, IvfFlatConfig(8, 2, 4, 7), HnswConfig(6, 24, 16, 6, 7)):
+        table = VectorTable.from_rows(spark, rows, "l2", config)
+        for condition, fits in (("payload = '3'", lambda r: r[2] == "3"), ("id > 395", lambda r: r[0] > 395), ("id < 0", lambda r: False)):
+            got = [r["id"] for r in table.filtered_top_k([200.3, 4.0], 5, condition).collect()]
+            want = sorted((r for r in rows if fits(r)), key=lambda r: ((r[1][0] - 200.3) ** 2 + (r[1][1] - 4) ** 2, r[0]))
+            assert got == [r[0] for r in want[:5]]
+
+
 def test_functions(spark):
     VectorSession(spark)
     a, b = "array(1.0, 1.0, 1.0)", "array(-1.0, -1.0, -1.0)"

@@ -1,4 +1,4 @@
-"""Errors of the engine; messages are part of its interface."""
+"""Errors of the engine."""
 
 from __future__ import annotations
 
@@ -9,35 +9,35 @@ class VectorError(ValueError):
 
 class EmptyDataset(VectorError):
     def __init__(self):
-        super().__init__("a vector dataset must contain at least one row")
+        super().__init__("no rows: a table of vectors needs one or more")
 
 
 class EmptyVector(VectorError):
     def __init__(self):
-        super().__init__("vector dimension must be greater than zero")
+        super().__init__("vectors need one component or more")
 
 
 class DimensionMismatch(VectorError):
     def __init__(self, expected: int, actual: int):
         self.expected, self.actual = expected, actual
-        super().__init__(f"expected dimension {expected}, got {actual}")
+        super().__init__(f"a vector of {actual} components where all have {expected}")
 
 
 class NonFiniteValue(VectorError):
     def __init__(self, vector: int, dimension: int):
         self.vector, self.dimension = vector, dimension
-        super().__init__(f"vector {vector} contains a non-finite value at dimension {dimension}")
+        super().__init__(f"component {dimension} of vector {vector} is not a finite number")
 
 
 class ZeroNorm(VectorError):
     def __init__(self, vector: int):
         self.vector = vector
-        super().__init__(f"vector {vector} has zero norm under cosine distance")
+        super().__init__(f"vector {vector} is all zeros and has no direction for cosine distance")
 
 
 class InvalidConfig(VectorError):
     def __init__(self, message: str):
-        super().__init__(f"invalid index configuration: {message}")
+        super().__init__(f"index setting rejected: {message}")
 
 
 class DuplicateId(VectorError):

@@ -33,9 +33,9 @@ class NswConfig:
     ef_search: int = 32
 
     def check(self) -> None:
-        need(self.max_connections > 0, "NSW max_connections must be greater than zero")
-        need(self.ef_construction >= self.max_connections, "NSW ef_construction must be at least max_connections")
-        need(self.ef_search > 0, "NSW ef_search must be greater than zero")
+        need(self.max_connections > 0, "a node needs one connection or more")
+        need(self.ef_construction >= self.max_connections, "the beam of a build is as wide as a node has connections, or wider")
+        need(self.ef_search > 0, "the beam of a search has to be positive")
 
     def level(self, row: int) -> int:
         return 0
@@ -57,11 +57,11 @@ class HnswConfig:
     base_factor: int = 1
 
     def check(self) -> None:
-        need(self.max_connections > 0, "HNSW max_connections must be greater than zero")
-        need(self.ef_construction >= self.max_connections, "HNSW ef_construction must be at least max_connections")
-        need(self.ef_search > 0, "HNSW ef_search must be greater than zero")
-        need(self.max_level > 0, "HNSW max_level must be greater than zero")
-        need(self.levels == "coin" or self.max_connections > 1, "HNSW max_connections must be greater than one for logarithmic levels")
+        need(self.max_connections > 0, "a node needs one connection or more")
+        need(self.ef_construction >= self.max_connections, "the beam of a build is as wide as a node has connections, or wider")
+        need(self.ef_search > 0, "the beam of a search has to be positive")
+        need(self.max_level > 0, "one level or more")
+        need(self.levels == "coin" or self.max_connections > 1, "logarithmic levels need two connections or more")
 
     def level(self, row: int) -> int:
         """Drawn from the digest of seed and row: the ones it begins with, or the logarithm of it as a fraction."""
@@ -234,7 +234,7 @@ class GraphIndex(VectorIndex):
         return self.rows.groupBy("shard").cogroup(self.edges.groupBy("shard")).applyInPandas(walk, BATCH_SCHEMA)
 
     def _ef(self, ef: int | None) -> int:
-        need(ef is None or ef > 0, f"{self.kind.upper()} ef_search must be greater than zero")
+        need(ef is None or ef > 0, "the beam of a search has to be positive")
         return ef or self.config.ef_search
 
     def search(self, query: Sequence[float], k: int, ef: int | None = None) -> DataFrame:

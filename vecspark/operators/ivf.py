@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions.distance import Metric, pairwise, ranked, to_literal
@@ -26,9 +26,9 @@ class IvfFlatConfig:
     empty: str = "reseed"
 
     def check(self, rows: int) -> None:
-        need(1 <= self.partitions <= rows, "IVFFlat partitions must be in 1..=dataset length")
-        need(1 <= self.probes <= self.partitions, "IVFFlat probes must be in 1..=partitions")
-        need(self.iterations > 0, "IVFFlat iterations must be greater than zero")
+        need(1 <= self.partitions <= rows, "as many partitions as rows at most, and one at least")
+        need(1 <= self.probes <= self.partitions, "as many probes as partitions at most, and one at least")
+        need(self.iterations > 0, "one training round at least")
 
 
 def nearest_lists(metric: Metric, queries: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
@@ -77,6 +77,25 @@ class IvfFlatIndex(VectorIndex):
         postings.repartition("partition", F.pmod("row", F.lit(8))).write.mode("overwrite").partitionBy("partition").parquet(self.path)
         return self.dataset.spark.read.schema("row bigint, embedding array<float>, partition int").parquet(self.path)
 
+    def save(self, path: str) -> None:
+        """Lists by directory, centroids and settings: what open() needs."""
+        self.postings.repartition("partition", F.pmod("row", F.lit(8))).write.partitionBy("partition").parquet(f"{path}/lists")
+        self.centroid_table().coalesce(1).write.parquet(f"{path}/centroids")
+        c = self.config
+        settings = [(self.metric.value, c.partitions, c.probes, c.iterations, c.seed, c.empty)]
+        self.dataset.spark.createDataFrame(settings, "metric string, partitions int, probes int, iterations int, seed bigint, empty string").coalesce(1).write.parquet(f"{path}/settings")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> IvfFlatIndex:
+        """A saved index, without training; probes read its directories."""
+        index = cls.__new__(cls)
+        metric, *rest = spark.read.parquet(f"{path}/settings").first()
+        index.config, index.metric, index.path = IvfFlatConfig(*rest), Metric(metric), f"{path}/lists"
+        index.postings = spark.read.schema("row bigint, embedding array<float>, partition int").parquet(index.path)
+        index.centroids = np.array([r[0] for r in spark.read.parquet(f"{path}/centroids").orderBy("partition").select("centroid").collect()], np.float32)
+        index.dataset = Dataset(index.postings.select("row", "embedding"), index.centroids.shape[1], index.postings.count())
+        return index
+
     def centroid_table(self) -> DataFrame:
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
         return self.dataset.spark.createDataFrame(rows, "partition int, centroid array<float>")
@@ -97,7 +116,7 @@ class IvfFlatIndex(VectorIndex):
         return self._blocks(queries, k, lambda qids, vectors: probe(self.postings, self.dataset.dimension, (qids, vectors, nearest_lists(self.metric, vectors, self.centroids, probes)), self.metric, k))
 
     def _probes(self, probes: int | None) -> int:
-        need(probes is None or 1 <= probes <= self.config.partitions, "query probes must be in 1..=partitions")
+        need(probes is None or 1 <= probes <= self.config.partitions, "as many probes as partitions at most, and one at least")
         return probes or self.config.probes
 
     def insert(self, rows: DataFrame) -> int:

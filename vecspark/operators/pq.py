@@ -28,13 +28,13 @@ class IvfPqConfig:
     seed: int = 0x5EED
 
     def check(self, rows: int, dimension: int, metric: Metric) -> None:
-        need(metric is Metric.EUCLIDEAN, "IVF-PQ currently supports Euclidean distance only")
-        need(1 <= self.partitions <= rows, "IVF-PQ partitions must be in 1..=dataset length")
-        need(1 <= self.probes <= self.partitions, "IVF-PQ probes must be in 1..=partitions")
-        need(self.iterations > 0, "IVF-PQ iterations must be greater than zero")
-        need(self.subquantizers > 0 and dimension % self.subquantizers == 0, "IVF-PQ subquantizers must divide the vector dimension")
-        need(2 <= self.codebook_size <= min(256, rows), "IVF-PQ codebook size must be in 2..=min(256, dataset length)")
-        need(self.rerank > 0, "IVF-PQ rerank must be greater than zero")
+        need(metric is Metric.EUCLIDEAN, "product codes need Euclidean distance")
+        need(1 <= self.partitions <= rows, "as many partitions as rows at most, and one at least")
+        need(1 <= self.probes <= self.partitions, "as many probes as partitions at most, and one at least")
+        need(self.iterations > 0, "one training round at least")
+        need(self.subquantizers > 0 and dimension % self.subquantizers == 0, "slices must be of equal width: subquantizers has to divide the dimension")
+        need(2 <= self.codebook_size <= min(256, rows), "2 to 256 codewords, no more than rows")
+        need(self.rerank > 0, "rerank has to be positive")
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,6 +43,11 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.einsum("ij,ij->i", y - one, y - one) for one in x]) if len(x) else np.zeros((0, len(y)))
 
 
+#: Shortlisted rows that are sent to the vectors; more of them meet the vectors in a shuffle.
+BROADCAST_ROWS = 500_000
+UNREPRESENTABLE = "distances of results must be representable as float32"
+
+
 class IvfPqIndex(VectorIndex):
     kind = "ivf_pq"
 
@@ -56,8 +61,10 @@ class IvfPqIndex(VectorIndex):
         self.residuals = self._residuals().persist()
         bad = self.residuals.where("bad").agg(F.min("row")).first()[0]
         if bad is not None:
-            raise InvalidConfig("IVF-PQ training residuals must remain finite")
+            raise InvalidConfig("residuals of the training rows exceed float32")
         self.codebooks = self._trained()
+        if not np.isfinite(self.codebooks).all():
+            raise InvalidConfig("codewords exceed float32")
         self.codes = self._encoded().persist()
 
     def _residuals(self) -> DataFrame:
@@ -152,8 +159,8 @@ class IvfPqIndex(VectorIndex):
         return self.full_precision_bytes() / (self.encoded_bytes() + self.codebook_bytes())
 
     def _checked(self, probes: int | None, rerank: int | None) -> tuple[int, int]:
-        need(probes is None or 1 <= probes <= self.config.partitions, "query probes must be in 1..=partitions")
-        need(rerank is None or rerank > 0, "query rerank must be greater than zero")
+        need(probes is None or 1 <= probes <= self.config.partitions, "as many probes as partitions at most, and one at least")
+        need(rerank is None or rerank > 0, "rerank has to be positive")
         return probes or self.config.probes, rerank or self.config.rerank
 
     def shortlist(self, qids: np.ndarray, vectors: np.ndarray, size: int, probes: int) -> DataFrame:
@@ -199,7 +206,9 @@ class IvfPqIndex(VectorIndex):
                     d = np.sqrt(np.einsum("ij,ij->i", diff, diff)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["qid", "row", "distance"])
 
-        joined = short.join(self.dataset.df, "row").select("qid", "row", "embedding")
+        if size * len(qids) <= BROADCAST_ROWS:  # the shortlists' bound: three numbers a row
+            short = F.broadcast(short)
+        joined = self.dataset.df.join(short, "row").select("qid", "row", "embedding")
         return joined.mapInArrow(run, "qid bigint, row bigint, distance float")
 
     def search(self, query: Sequence[float], k: int, probes: int | None = None, rerank: int | None = None) -> DataFrame:
@@ -208,9 +217,19 @@ class IvfPqIndex(VectorIndex):
         found = self._ranked(np.zeros(1, np.int64), q[None, :], k, probes, rerank).select("row", "distance").persist()
         lost, n = found.agg(F.count(F.when(F.abs("distance") == float("inf"), 1)), F.count("*")).first()
         if lost and n - lost < min(k, n):
-            raise InvalidConfig("IVF-PQ result distances must remain representable as finite f32")
+            raise InvalidConfig(UNREPRESENTABLE)
         return found.where(F.abs("distance") < float("inf")).orderBy("distance", "row").limit(k)
 
     def search_batch(self, queries: DataFrame, k: int, probes: int | None = None, rerank: int | None = None) -> DataFrame:
+        """As search(): raises if a query gets fewer than its k rows because some of their distances aren't representable."""
         probes, rerank = self._checked(probes, rerank)
-        return self._blocks(queries, k, lambda qids, vectors: self._ranked(qids, vectors, k, probes, rerank).where(F.abs("distance") < float("inf")))
+
+        def one(qids: np.ndarray, vectors: np.ndarray) -> DataFrame:
+            found = self._ranked(qids, vectors, k, probes, rerank).persist()
+            good = F.abs("distance") < float("inf")
+            counts = found.groupBy("qid").agg(F.count("*").alias("n"), F.count(F.when(good, 1)).alias("good"))
+            if not counts.where((F.col("good") < F.col("n")) & (F.col("good") < F.least(F.col("n"), F.lit(k)))).isEmpty():
+                raise InvalidConfig(UNREPRESENTABLE)
+            return found.where(good)
+
+        return self._blocks(queries, k, one)

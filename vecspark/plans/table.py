@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.errors import DuplicateId, InvalidConfig
@@ -110,12 +110,58 @@ class VectorTable:
         index = next(iter(self.indexes.values()), None) or FlatIndex(self.dataset, self.metric)
         return index.search_batch(queries, k, **options)
 
+    def filtered_top_k(self, query: Sequence[float], k: int, condition: Column | str, **options: int) -> DataFrame:
+        """The k nearest of the rows that a condition holds for, with all columns and their distance, by the first index.
+
+        The index names four times as many candidates from pass to pass until k of them fit. Where it has named all that
+        it would, or a quarter of the table, exact search over the fitting rows answers, so none are missing.
+        """
+        condition = F.expr(condition) if isinstance(condition, str) else condition
+        index, asked = next(iter(self.indexes.values()), None), 4 * k
+        while index is not None and index.kind != "flat" and asked * 4 <= self.dataset.rows:
+            near = index.search(query, asked, **options).persist()
+            rows = self.gather(near, asked).where(condition).orderBy("distance", self.id_column).limit(k)
+            if rows.count() >= k:
+                return rows
+            if near.count() < asked:
+                break
+            asked *= 4
+        fits = self.base.where(condition)
+        some = Dataset(fits.select(F.col(self.id_column).cast("bigint").alias("row"), F.col(self.embedding).cast("array<float>").alias("embedding")), self.dataset.dimension, self.dataset.rows)
+        found = FlatIndex(some, index.metric if index else self.metric).search(query, k)
+        return self.gather(found, k).orderBy("distance", self.id_column)
+
     def gather(self, found: DataFrame, k: int) -> DataFrame:
         """The rows that a search named, with `distance`. k bounds them: up to BROADCAST_ROWS they go to every task."""
         small = found.withColumnRenamed("row", "_row")
         small = F.broadcast(small) if k <= BROADCAST_ROWS else small
         return self.base.join(small, self.base[self.id_column] == F.col("_row")).drop("_row")
 
+    def delete(self, condition: Column | str) -> int:
+        """Takes the rows that a condition holds for out of the table and of every index. The number of rows."""
+        condition = F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
+        gone = self.base.where(condition).select(F.col(self.id_column).cast("bigint").alias("row")).persist()
+        n = gone.count()
+        if n:
+            self.base = self.base.where(~condition)
+            self.dataset = Dataset(self.dataset.df.join(gone, "row", "left_anti"), self.dataset.dimension, self.dataset.rows - n)
+            for name, index in self.indexes.items():
+                if hasattr(index, "delete"):
+                    index.delete(gone)
+                else:
+                    config = getattr(index, "config", None)
+                    self.indexes[name] = type(index)(self.dataset, index.metric, *([config] if config else []))
+        return n
+
+    def update(self, values: dict[str, Column | str], condition: Column | str) -> int:
+        """Sets columns of the rows that a condition holds for; in indexes they are deleted and inserted. The number of rows."""
+        condition = F.coalesce(F.expr(condition) if isinstance(condition, str) else condition, F.lit(False))
+        given = {c: F.expr(v) if isinstance(v, str) else v for c, v in values.items()}
+        kind = dict(zip(self.base.columns, (f.dataType for f in self.base.schema), strict=True))
+        changed = self.base.where(condition).select(*[given[c].cast(kind[c]).alias(c) if c in given else F.col(c) for c in self.base.columns])
+        n = self.delete(condition)
+        return self.insert(changed) if n else 0
+
     def insert(self, rows: DataFrame) -> int:
         """Appends rows and adds them to every index; centroids and graphs that are there stay. The number of rows."""
         rows = rows.select(*self.base.columns)

@@ -196,12 +196,6 @@ def recall_at_k(spark, sf_dir):
     return measure.recall_at_k(truth, truth.where("rank <= 5"), K)
 
 
-@query("SELECT 1.0::DOUBLE AS recall")
-def recall_1nn_at_r(spark, sf_dir):
-    truth = FlatIndex(dataset(spark, sf_dir), Metric.COSINE).search_batch(batch(spark, sf_dir), K).persist()
-    return measure.recall_1nn_at_r(truth, truth, 1)
-
-
 @query("SELECT quantile_disc(l_extendedprice, 0.0) AS p0, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem")
 def percentile_nearest_rank(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -276,6 +270,35 @@ def ivf_topk_probed(spark, sf_dir):
     return _ranked(_ivf(spark, sf_dir).search(QUERY, K))
 
 
+def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that aren't stored rows: every twentieth vector, reversed."""
+    return embeddings(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.reverse("embedding").alias("embedding"))
+
+
+def _recall_sql() -> str:
+    """CTEs truth and found (qid, vec_id, rank): exact, and from the lists that a query probes."""
+    q = "SELECT vec_id AS qid, CAST(list_reverse(embedding) AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0"
+    near = "CAST(list_distance(CAST({} AS DOUBLE[]), q.v) AS FLOAT)"
+    return f"""WITH {_lloyd(IVF.iterations)}, q AS ({q}),
+lists AS (SELECT qid, v, p FROM (SELECT q.qid, q.v, c.p, row_number() OVER (PARTITION BY qid ORDER BY {near.format("c.centroid")}, c.p) AS r FROM q, c{IVF.iterations} c) WHERE r <= {IVF.probes}),
+truth AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY {near.format("e.embedding")}, vec_id) AS rank FROM q, embeddings e QUALIFY rank <= {K}),
+found AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY {near.format("a.embedding")}, vec_id) AS rank FROM lists q JOIN a{IVF.iterations} a ON a.p = q.p QUALIFY rank <= {K})"""
+
+
+@query(f"{_recall_sql()} SELECT t.qid, count(f.vec_id) / {K}.0::DOUBLE AS recall FROM truth t LEFT JOIN found f ON f.qid = t.qid AND f.vec_id = t.vec_id GROUP BY t.qid")
+def ivf_recall_at_k(spark, sf_dir):
+    """What share of each query's true nearest the probed lists give."""
+    truth = FlatIndex(dataset(spark, sf_dir), Metric.EUCLIDEAN).search_batch(_shifted(spark, sf_dir), K)
+    return measure.recall_at_k(truth, _ivf(spark, sf_dir).search_batch(_shifted(spark, sf_dir), K), K)
+
+
+@query(f"{_recall_sql()} SELECT count(f.vec_id) / count(*)::DOUBLE AS recall FROM truth t LEFT JOIN found f ON f.qid = t.qid AND f.vec_id = t.vec_id AND f.rank <= 5 WHERE t.rank = 1")
+def recall_1nn_at_r(spark, sf_dir):
+    """The share of queries whose true nearest row is among the first five from the probed lists."""
+    truth = FlatIndex(dataset(spark, sf_dir), Metric.EUCLIDEAN).search_batch(_shifted(spark, sf_dir), K)
+    return measure.recall_1nn_at_r(truth, _ivf(spark, sf_dir).search_batch(_shifted(spark, sf_dir), K), 5)
+
+
 @query(_knn_sql(Metric.EUCLIDEAN))
 def ivf_topk_all_probes(spark, sf_dir):
     return _knn(_ivf(spark, sf_dir).search_batch(batch(spark, sf_dir), K, IVF.partitions))
@@ -303,7 +326,7 @@ near AS (SELECT vec_id, p, embedding, centroid FROM (SELECT e.vec_id, c.p, e.emb
 res AS (SELECT vec_id, p, pos - 1 AS pos, CAST(CAST(a AS DOUBLE) - CAST(b AS DOUBLE) AS FLOAT) AS x FROM (SELECT vec_id, p, unnest(range(1, {WIDTH + 1})) AS pos, unnest(embedding) AS a, unnest(centroid) AS b FROM near))"""
 
 
-def _codes_sql() -> str:
+def _codes_sql(tail: str = "SELECT vec_id AS row, string_agg(CAST(k AS VARCHAR), ',' ORDER BY m) AS codes FROM g1 GROUP BY vec_id") -> str:
     width = WIDTH // PQ_ROUND.subquantizers
 
     def codes(book: str) -> str:
@@ -317,7 +340,7 @@ g0 AS ({codes("b0")}),
 u0 AS (SELECT sl.m, g0.k, sl.pos, CAST(avg(CAST(sl.x AS DOUBLE)) AS FLOAT) AS x FROM sl JOIN g0 ON g0.vec_id = sl.vec_id AND g0.m = sl.m GROUP BY 1, 2, 3),
 b1 AS (SELECT b0.m, b0.k, b0.pos, coalesce(u0.x, b0.x) AS x FROM b0 LEFT JOIN u0 ON u0.m = b0.m AND u0.k = b0.k AND u0.pos = b0.pos),
 g1 AS ({codes("b1")})
-SELECT vec_id AS row, string_agg(CAST(k AS VARCHAR), ',' ORDER BY m) AS codes FROM g1 GROUP BY vec_id"""
+{tail}"""
 
 
 @query(f"WITH {_residual_sql(PQ.iterations)} SELECT vec_id AS row, p AS partition, round(sqrt(sum(CAST(x AS DOUBLE) ** 2)), 4) AS norm FROM res GROUP BY 1, 2")
@@ -332,6 +355,27 @@ def pq_codes(spark, sf_dir):
     return index.codes.select("row", F.concat_ws(",", F.transform("codes", lambda x: x.cast("string"))).alias("codes"))
 
 
+def _shortlist_sql() -> str:
+    """Each query against every list's centroid, that rest against the codewords, and by them the rows' sums."""
+    width = WIDTH // PQ_ROUND.subquantizers
+    qx = f"SELECT qid, pos - 1 AS pos, x FROM (SELECT vec_id AS qid, unnest(range(1, {WIDTH + 1})) AS pos, unnest(list_reverse(embedding)) AS x FROM embeddings WHERE vec_id % 20 = 0)"
+    cx = f"SELECT p, pos - 1 AS pos, x FROM (SELECT p, unnest(range(1, {WIDTH + 1})) AS pos, unnest(centroid) AS x FROM c1)"
+    return _codes_sql(f"""SELECT qid, CAST(rank AS INTEGER) AS rank, round(approx, 4) AS approx FROM (SELECT qid, approx, row_number() OVER (PARTITION BY qid ORDER BY approx, vec_id) AS rank FROM (
+SELECT t.qid, g.vec_id, sum(t.d) AS approx FROM g1 g JOIN (SELECT DISTINCT vec_id, p FROM res) l ON l.vec_id = g.vec_id JOIN (
+SELECT qid, p, b.m, b.k, sum((r - CAST(b.x AS DOUBLE)) ** 2) AS d FROM (SELECT q.qid, c.p, q.pos, CAST(q.x AS DOUBLE) - CAST(c.x AS DOUBLE) AS r FROM ({qx}) q JOIN ({cx}) c ON c.pos = q.pos) z
+JOIN b1 b ON b.m = z.pos // {width} AND b.pos = z.pos % {width} GROUP BY 1, 2, 3, 4) t ON t.p = l.p AND t.m = g.m AND t.k = g.k GROUP BY 1, 2)) WHERE rank <= {PQ_ROUND.rerank}""")
+
+
+@query(_shortlist_sql())
+def pq_shortlist(spark, sf_dir):
+    """By the codes alone, each query's nearest rows of all lists; equal codes tie, so rows are shown by their sums."""
+    index = IvfPqIndex(dataset(spark, sf_dir), Metric.EUCLIDEAN, PQ_ROUND)
+    queries = _shifted(spark, sf_dir).orderBy("qid").collect()
+    found = index.shortlist(np.array([r["qid"] for r in queries]), np.array([r["embedding"] for r in queries], np.float32), PQ_ROUND.rerank, PQ_ROUND.probes)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("approx", "row"))
+    return found.select("qid", rank.alias("rank"), F.round("approx", 4).alias("approx"))
+
+
 @query(f"SELECT count(*) * {PQ.subquantizers} AS codes, CAST({PQ.codebook_size * WIDTH * 4} AS BIGINT) AS codebooks, count(*) * {WIDTH * 4} AS full_vectors FROM embeddings")
 def pq_bytes(spark, sf_dir):
     index = IvfPqIndex(dataset(spark, sf_dir), Metric.EUCLIDEAN, PQ_ROUND)

@@ -45,7 +45,7 @@ LEAST, EVERY = 2, 16
 BUCKETS = 1 << 18
 #: Levels are so many to a doubling; a word whose bucket is in HOT lines or more is hot.
 STEPS = 3
-HOT = 512
+HOT = 4096
 #: Lines of fewer words than NARROW have pair keys for hot words, those of LONG or more have single ones; NARROW is LONG by THRESHOLD.
 LONG, NARROW = 256, 320
 #: Lines of more tokens have parities of 128 bits, others of 64.

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import read, table
 
 FIT_ROWS = 12_000
+#: Rows whose words a Python worker holds at once.
+SLICE_ROWS = 128
 #: Word beginnings of these many characters are tried as entries.
 BEGINNINGS = range(3, 8)
 #: An entry's log-odds less 1.64 standard errors must reach this.
@@ -187,58 +189,53 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def learned(texts: Iterable[tuple[int, list[str]]]) -> Lexicon:
-    """texts: (label, distinct words) of bounded many. Entries that cover the toxic ones, by number of texts times certainty."""
-    number: dict[str, int] = {}
-    toxic, clean = [], []
-    for y, words in texts:  # kept as numbers: words recur, and the driver's memory is bounded
-        (toxic if y else clean).append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
-    words = list(number)
-
-    def forms(word: str) -> Iterator[str]:
-        yield word
-        for k in BEGINNINGS:
-            if k <= len(word):
-                yield f"{word[:k]}*"
-
-    def counted(rows: list[np.ndarray], of_word: dict[int, list[str]]) -> list[Counter[str]]:
-        """In how many rows of either half each form is."""
-        out: list[Counter[str]] = [Counter(), Counter()]
-        for k, own in enumerate(rows):
-            out[k % 2].update({f for w in own.tolist() for f in of_word.get(w, ())})
-        return out
-
-    pos = counted(toxic, {i: [*forms(w)] for i, w in enumerate(words)})
+def forms(word: str) -> Iterator[str]:
+    """What entry could stand for a word: itself, or one of its beginnings."""
+    yield word
+    for k in BEGINNINGS:
+        if k <= len(word):
+            yield f"{word[:k]}*"
+
+
+def learned(toxic: list[tuple[int, list[str]]], clean: Callable[[set[str]], tuple[dict[tuple[str, int], int], tuple[int, int]]]) -> Lexicon:
+    """Entries that cover the toxic texts, by number of texts times certainty.
+
+    toxic: the half and the distinct words of bounded many texts; clean: given forms, in how many clean texts of each half
+    each of them is, and how many clean texts there are of each half.
+    """
+    pos: list[Counter[str]] = [Counter(), Counter()]
+    for half, words in toxic:
+        pos[half].update({f for w in words for f in forms(w)})
     both = {x for x, n in pos[0].items() if n >= LEAST_HALF and pos[1][x] >= LEAST_HALF} | {*THREATS}
-    of_word = {i: own for i, w in enumerate(words) if (own := [f for f in forms(w) if f in both])}
-    neg = counted(clean, of_word)
-    size = [[len(rows[k::2]) for k in (0, 1)] for rows in (toxic, clean)]
+    pos = [Counter({x: n for x, n in p.items() if x in both}) for p in pos]
+    neg, none = clean(both)
+    size = [sum(h == k for h, _ in toxic) for k in (0, 1)]
 
-    def odds(a: float, b: float, n1: float, n0: float) -> tuple[float, float]:
-        w = float(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
-        return w, w - 1.64 * float(np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+    def odds(x: str, halves: tuple[int, ...]) -> tuple[float, float]:
+        a, b = sum(pos[k][x] for k in halves) + 0.5, sum(neg.get((x, k), 0) for k in halves) + 0.5
+        w = float(np.log(a / (sum(size[k] for k in halves) + 1)) - np.log(b / (sum(none[k] for k in halves) + 1)))
+        return w, w - 1.64 * float(np.sqrt(1 / a + 1 / b))
 
-    known = bool(toxic and clean)
+    known = bool(sum(size) and sum(none))
     threats = {}
     for x, prior in THREATS.items():  # the prior weight, as if seen in PRIOR_COUNT texts, moved by what the labels say
-        n = pos[0][x] + pos[1][x] + neg[0][x] + neg[1][x]
-        told = odds(pos[0][x] + pos[1][x], neg[0][x] + neg[1][x], len(toxic), len(clean))[0] if known and n else prior
+        n = sum(pos[k][x] + neg.get((x, k), 0) for k in (0, 1))
+        told = odds(x, (0, 1))[0] if known and n else prior
         threats[x] = min((PRIOR_COUNT * prior + n * told) / (PRIOR_COUNT + n), MOST_WEIGHT)
     threats = {x: w for x, w in threats.items() if w > 0.5}
-    strong: dict[str, tuple[float, float]] = {}
+    strong: dict[str, float] = {}
     for x in both - {*THREATS} if known else ():
-        halves = [odds(pos[k][x], neg[k][x], size[0][k], size[1][k])[0] for k in (0, 1)]
-        whole = odds(pos[0][x] + pos[1][x], neg[0][x] + neg[1][x], len(toxic), len(clean))
-        if min(halves) >= HALF_WEIGHT and whole[1] >= LEAST_WEIGHT:
-            strong[x] = whole
+        whole = odds(x, (0, 1))
+        if whole[1] >= LEAST_WEIGHT and min(odds(x, (k,))[0] for k in (0, 1)) >= HALF_WEIGHT:
+            strong[x] = whole[0]
     insults: dict[str, float] = {}
-    uncovered = [{f for w in own.tolist() for f in of_word.get(w, ()) if f in strong} for own in toxic]
+    uncovered = [{f for w in words for f in forms(w) if f in strong} for _, words in toxic]
     cover = Counter(f for own in uncovered for f in own)
     while cover:
-        x, n = max(cover.items(), key=lambda p: (p[1] * strong[p[0]][1], p[0]))
+        x, n = max(cover.items(), key=lambda p: (p[1] * strong[p[0]], p[0]))
         if n < 1:
             break
-        insults[x] = min(strong[x][0], MOST_WEIGHT)
+        insults[x] = min(strong[x], MOST_WEIGHT)
         for own in uncovered:
             if x in own:
                 cover.subtract(own)
@@ -276,25 +273,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Only distinct words and clause features of the fit rows reach the driver, not texts."""
+    """The driver is sent distinct words of the toxic fit rows, counts of their forms in the others, and clause features."""
     spark = documents.sparkSession
     ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = table(spark, documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "fit")
+    found = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    rows = table(spark, one.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")), "fit")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({*WORD.findall((t or "").lower())}) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
+            for a in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(a, SLICE_ROWS)
+                own = [sorted({*WORD.findall((t.as_py() or "").lower())}) for t in some.column(0)]
+                yield pa.RecordBatch.from_arrays([some.column(2), pa.array(own, pa.list_(pa.string()))], ["half", "words"])
+
+    def clean(wanted: set[str]) -> tuple[dict[tuple[str, int], int], tuple[int, int]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in words(batches):
+                n: Counter[tuple[str, int]] = Counter()
+                for half, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    n.update((f, half) for f in {f for w in own.as_py() for f in forms(w) if f in wanted} | {""})
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in n], pa.string()), pa.array([h for _, h in n], pa.int32()), pa.array([*n.values()], pa.int64())], ["form", "half", "n"])
+
+        got = rows.where("toxic <= 0").mapInArrow(run, "form string, half int, n bigint").groupBy("form", "half").agg(F.sum("n").alias("n")).collect()
+        n = {(r["form"], r["half"]): r["n"] for r in got}
+        return n, (n.get(("", 0), 0), n.get(("", 1), 0))
 
-    lexicon = learned((r[0], r[1]) for r in rows.mapInArrow(words, "toxic int, words array<string>").toLocalIterator())
+    lexicon = learned([(r[0], r[1]) for r in rows.where("toxic > 0").mapInArrow(words, "half int, words array<string>").toLocalIterator()], clean)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lexicon.features(t or "") for t in batch.column(0).to_pylist()]
+            found = [lexicon.features(t.as_py() or "") for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    got = rows.mapInArrow(features, "toxic int, x array<double>").collect()
+    got = rows.select("text", "toxic").mapInArrow(features, "toxic int, x array<double>").collect()
     return Model(lexicon, fitted(np.array([r[1] for r in got]).reshape(-1, len(CENTRE) - 1), np.array([float(r[0] > 0) for r in got])))
 
 

@@ -18,8 +18,9 @@ without words stay. op1 takes shingles of SHINGLE words, which its SQL fixes; th
 5. A token in HOT lines or more isn't a key by itself. The prefix argument holds again behind it: the next token that both
    lines share is within the rest of the prefix and one more, so such tokens are keys with each of those. Lines of LONG
    tokens or more have the token alone for a key, of a kind that only they share.
-6. Of a hot key's group the earliest line is tried first, against all others, which is linear and settles groups of near
-   copies. Lines that it doesn't settle meet the group's other lines of like size. Other groups have fewer than HOT lines.
+6. Of a key's group, where the token is in WARM lines or more, the earliest line is tried first, against all others, which
+   is linear and settles groups of near copies. Of two settled lines neither has to meet the other any more. Lines that it
+   doesn't settle meet the group's other lines, in the groups of hot keys those of like size.
 
 Defined cases: a null text is empty, one line without words; rows with the same doc_id and line number count as one
 occurrence if the lines are equal, else the smaller key is earlier; null doc_ids come first; an empty table gives no
@@ -41,11 +42,13 @@ THRESHOLD = (4, 5)
 BROADCAST_ROWS = 2_000_000
 #: Tokens that a line's prefix must share: LEAST and one more for EVERY tokens; each makes the prefix one longer.
 LEAST, EVERY = 2, 16
-#: Buckets of words by hash; the table of their levels is one byte each.
+#: Buckets of words by hash; the table of their levels is eight bytes each.
 BUCKETS = 1 << 18
 #: Levels are so many to a doubling; a word whose bucket is in HOT lines or more is hot.
 STEPS = 3
 HOT = 4096
+#: A word that isn't hot, but whose bucket is in WARM lines or more, is tried against its earliest line first.
+WARM = 64
 #: Lines of fewer words than NARROW have pair keys for hot words, those of LONG or more have single ones; NARROW is LONG by THRESHOLD.
 LONG, NARROW = 256, 320
 #: Lines of more tokens have parities of 128 bits, others of 64.
@@ -128,13 +131,14 @@ def suspects(once: DataFrame, shingle: int) -> DataFrame:
 
 
 def levels(texts: DataFrame, shingle: int) -> Column:
-    """The level of each bucket, a logarithm of the number of lines that hold its tokens: a constant of BUCKETS bytes."""
+    """The level of each bucket, a logarithm of the number of lines that hold its tokens, in the top byte: BUCKETS numbers."""
     token = hashed(texts.select("line"), shingle).select(F.explode("h").alias("h"))
     every = token.select(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"), F.lit(1).alias("one"))
     counts = every.union(texts.sparkSession.range(BUCKETS).select("id", F.lit(0))).groupBy("bucket").agg(F.sum("one").alias("n"))
     level = F.least(F.floor(F.log2(F.col("n") + 1) * STEPS), F.lit(127))
     coded = counts.select((F.shiftleft("bucket", 8) + level).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return F.split(F.lit(coded.select(F.array_join(F.transform("x", lambda x: x.bitwiseAND(F.lit(255)).cast("string")), ",")).first()[0]), ",").cast("array<tinyint>")
+    shifted = F.transform("x", lambda x: F.shiftleft(x.bitwiseAND(F.lit(255)), 56).cast("string"))
+    return F.split(F.lit(coded.select(F.array_join(shifted, ",")).first()[0]), ",").cast("array<bigint>")
 
 
 def _parity(h: Column, half: bool) -> Column:
@@ -156,8 +160,8 @@ def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
     by_bucket = levels(texts, shingle)
 
     def token(x: Column) -> Column:
-        found = F.coalesce(F.get(by_bucket, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), F.lit(0).cast("bigint"))
-        return F.shiftleft(found, 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+        level = F.get(by_bucket, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(x, 8)), F.lit(0).cast("bigint"))
 
     n, h = F.size("h"), F.col("h")
     some = F.slice(F.sort_array(F.transform("h", token)), F.lit(1), F.when(n <= 3, n).otherwise(_prefix(n) + 1))
@@ -165,14 +169,23 @@ def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
     return hashed(texts.select("key", "first", "line"), shingle).select("key", "first", n.alias("n"), _parity(h, False).alias("all"), half.alias("half"), some.alias("s"))
 
 
+def _level(token: Column) -> Column:
+    return F.shiftrightunsigned(token, 56)
+
+
+def _least(lines: int) -> int:
+    """The level from which on a bucket counts as having so many lines."""
+    return STEPS * (lines.bit_length() - 1)
+
+
 def _hot(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 56) >= int(STEPS * (HOT.bit_length() - 1))
+    return _level(token) >= _least(HOT)
 
 
-def cold_keys(found: DataFrame) -> DataFrame:
-    """prefixes() -> (token, key, at, all, half): a row for each prefix token that isn't hot; at: size and position."""
-    p = found.where("n > 3").select("key", "n", "all", "half", F.posexplode(F.slice(F.col("s"), F.lit(1), _prefix(F.col("n")))).alias("i", "token"))
-    return p.where(~_hot(F.col("token"))).select("token", "key", _at(F.col("n"), F.col("i")).alias("at"), "all", "half")
+def single_keys(found: DataFrame, *more: str) -> DataFrame:
+    """prefixes() -> (token, key, at, all, half, *more): a row for each prefix token that isn't hot; at: size and position."""
+    p = found.where("n > 3").select("key", "n", "all", "half", *more, F.posexplode(F.slice(F.col("s"), F.lit(1), _prefix(F.col("n")))).alias("i", "token"))
+    return p.where(~_hot(F.col("token"))).select("token", "key", _at(F.col("n"), F.col("i")).alias("at"), "all", "half", *more)
 
 
 def hot_keys(found: DataFrame) -> DataFrame:
@@ -225,27 +238,41 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return table(spark, later.select("o.key", "o.check").distinct(), "similar")
 
 
+def leads(keys: DataFrame) -> DataFrame:
+    """keys -> (token, y, lines) of the groups of several lines; y is the earliest of them."""
+    return keys.groupBy("token").agg(F.min(F.struct("first", "key", "at", "all", "half")).alias("y"), F.count("*").alias("lines")).where("lines > 1")
+
+
+def _led(keys: DataFrame, lead: DataFrame) -> DataFrame:
+    met = keys.select("token", F.struct("key", "at", "all", "half").alias("x")).join(lead, "token")
+    return met.where((F.col("x.key") != F.col("y.key")) & _met("x", "y"))
+
+
 def near(texts: DataFrame, shingle: int) -> DataFrame:
     """texts: a table (key, check, first, line), one row a text -> (key, check) of those that an earlier one is similar to."""
     spark = texts.sparkSession
     found = table(spark, prefixes(texts, shingle), "prefixes")
-    cold = cold_keys(found)
-    met = cold.alias("x").hint("merge").join(cold.alias("y"), "token").where((F.col("x.key") < F.col("y.key")) & _met("x", "y"))
+    warm = single_keys(found, "first").where(_level(F.col("token")) >= _least(WARM))
+    hot = hot_keys(found)
+    shared = table(spark, hot.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
+    hot = table(spark, hot.join(shared, "token", "left_semi"), "hot")
+    lead = table(spark, leads(hot), "leads")
+    led = _pairs(_led(hot, lead).unionByName(_led(warm, leads(warm))))
+    settled = verified(led, texts, shingle)
+    done = small(table(spark, settled.select("key").distinct(), "settled"))
+    flagged = found.join(done.withColumn("done", F.lit(True)), "key", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    cold = single_keys(flagged, "done")
+    open_ = ~(F.col("x.done") & F.col("y.done"))
+    met = cold.alias("x").hint("merge").join(cold.alias("y"), "token").where((F.col("x.key") < F.col("y.key")) & open_ & _met("x", "y"))
     candidates = _pairs(met)
-    every = hot_keys(found)
-    shared = table(spark, every.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
-    hot = table(spark, every.join(shared, "token", "left_semi"), "hot")
-    if hot.isEmpty():
-        return verified(candidates, texts, shingle)
-    lead = table(spark, hot.groupBy("token").agg(F.min(F.struct("first", "key", "at", "all", "half")).alias("y"), F.count("*").alias("lines")), "leads")
-    led = hot.select("token", F.struct("key", "at", "all", "half").alias("x")).join(lead, "token").where((F.col("x.key") != F.col("y.key")) & _met("x", "y"))
-    settled = verified(_pairs(led), texts, shingle)
-    left = hot.join(settled, "key", "left_anti").join(lead.where("lines > 2").select("token"), "token", "left_semi")
-    size = F.floor(F.log(F.shiftright("at", 32)) / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
-    probes = left.withColumn("size", F.explode(F.array(size - 1, size, size + 1)))
-    order = lambda s: F.struct(F.col(f"{s}.first").alias("first"), F.col(f"{s}.key").alias("key"))
-    rest = probes.alias("x").join(hot.withColumn("size", size).alias("y"), ["token", "size"]).where((order("y") < order("x")) & _met("x", "y"))
-    return verified(candidates.union(_pairs(rest)).distinct(), texts, shingle).union(settled).distinct()
+    if not hot.isEmpty():
+        left = hot.join(done, "key", "left_anti").join(lead.where("lines > 2").select("token"), "token", "left_semi")
+        size = F.floor(F.log(F.shiftright("at", 32)) / F.log(F.lit(THRESHOLD[1] / THRESHOLD[0]))).cast("int")
+        probes = left.withColumn("size", F.explode(F.array(size - 1, size, size + 1)))
+        order = lambda s: F.struct(F.col(f"{s}.first").alias("first"), F.col(f"{s}.key").alias("key"))
+        rest = probes.alias("x").join(hot.withColumn("size", size).alias("y"), ["token", "size"]).where((order("y") < order("x")) & _met("x", "y"))
+        candidates = candidates.union(_pairs(rest)).distinct()
+    return verified(candidates, texts, shingle).union(settled).distinct()
 
 
 def removals(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:

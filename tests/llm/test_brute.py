@@ -134,7 +134,7 @@ def test_line_dedup_against_all_pairs(spark, hot, seed):
     """Near copies of lines of many lengths, words rare and frequent; nearly all words hot, and none."""
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(line_dedup, "HOT", hot)
-        patch.setattr(line_dedup, "WARM", 4 if seed % 5 else 64)
+        patch.setattr(line_dedup, "WARM", 4 if seed % 5 else 512)
         patch.setattr(line_dedup, "LONG", 16 if seed % 2 else 256)
         patch.setattr(line_dedup, "NARROW", 20 if seed % 2 else 320)
         patch.setattr(line_dedup, "BROADCAST_ROWS", 0 if seed % 3 else 500_000)

@@ -48,7 +48,7 @@ BUCKETS = 1 << 18
 STEPS = 3
 HOT = 4096
 #: A word that isn't hot, but whose bucket is in WARM lines or more, is tried against its earliest line first.
-WARM = 64
+WARM = 512
 #: Lines of fewer words than NARROW have pair keys for hot words, those of LONG or more have single ones; NARROW is LONG by THRESHOLD.
 LONG, NARROW = 256, 320
 #: Lines of more tokens have parities of 128 bits, others of 64.
@@ -130,11 +130,11 @@ def suspects(once: DataFrame, shingle: int) -> DataFrame:
     return out
 
 
-def levels(texts: DataFrame, shingle: int) -> Column:
+def levels(tokens: DataFrame) -> Column:
     """The level of each bucket, a logarithm of the number of lines that hold its tokens, in the top byte: BUCKETS numbers."""
-    token = hashed(texts.select("line"), shingle).select(F.explode("h").alias("h"))
+    token = tokens.select(F.explode("h").alias("h"))
     every = token.select(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"), F.lit(1).alias("one"))
-    counts = every.union(texts.sparkSession.range(BUCKETS).select("id", F.lit(0))).groupBy("bucket").agg(F.sum("one").alias("n"))
+    counts = every.union(tokens.sparkSession.range(BUCKETS).select("id", F.lit(0))).groupBy("bucket").agg(F.sum("one").alias("n"))
     level = F.least(F.floor(F.log2(F.col("n") + 1) * STEPS), F.lit(127))
     coded = counts.select((F.shiftleft("bucket", 8) + level).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("x"))
     shifted = F.transform("x", lambda x: F.shiftleft(x.bitwiseAND(F.lit(255)), 56).cast("string"))
@@ -151,13 +151,13 @@ def _parity(h: Column, half: bool) -> Column:
     return F.aggregate(h, F.lit(0).cast("bigint"), flip)
 
 
-def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
-    """(key, first, n, all, half, s): a line's number of tokens, their parities, and its prefix and the token after it.
+def prefixes(tokens: DataFrame) -> DataFrame:
+    """tokens (key, first, h) -> (key, first, n, all, half, s): a line's number of tokens, their parities, and its prefix and the token after it.
 
     A token is its level, then 56 bits of its hash. Of lines of up to three tokens s is all. half is of lines of more than
     WIDE tokens, whose parities need 128 bits.
     """
-    by_bucket = levels(texts, shingle)
+    by_bucket = levels(tokens)
 
     def token(x: Column) -> Column:
         level = F.get(by_bucket, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
@@ -166,7 +166,7 @@ def prefixes(texts: DataFrame, shingle: int) -> DataFrame:
     n, h = F.size("h"), F.col("h")
     some = F.slice(F.sort_array(F.transform("h", token)), F.lit(1), F.when(n <= 3, n).otherwise(_prefix(n) + 1))
     half = F.when(n > WIDE, _parity(h, True)).otherwise(F.lit(0).cast("bigint"))
-    return hashed(texts.select("key", "first", "line"), shingle).select("key", "first", n.alias("n"), _parity(h, False).alias("all"), half.alias("half"), some.alias("s"))
+    return tokens.select("key", "first", n.alias("n"), _parity(h, False).alias("all"), half.alias("half"), some.alias("s"))
 
 
 def _level(token: Column) -> Column:
@@ -249,9 +249,12 @@ def _led(keys: DataFrame, lead: DataFrame) -> DataFrame:
 
 
 def near(texts: DataFrame, shingle: int) -> DataFrame:
-    """texts: a table (key, check, first, line), one row a text -> (key, check) of those that an earlier one is similar to."""
+    """texts: (key, check, first, line), one row a text -> (key, check) of those that an earlier one is similar to."""
     spark = texts.sparkSession
-    found = table(spark, prefixes(texts, shingle), "prefixes")
+    tokens = hashed(texts.select("key", "first", "line"), shingle)
+    if shingle > 1:  # of few lines, and dear to compute
+        tokens = table(spark, tokens, "tokens")
+    found = table(spark, prefixes(tokens), "prefixes")
     warm = single_keys(found, "first").where(_level(F.col("token")) >= _least(WARM))
     hot = hot_keys(found)
     shared = table(spark, hot.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
@@ -287,7 +290,7 @@ def removals(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     once = every.join(again, text, "left").where(is_first).select("key", "check", at.alias("first"), "line")
     if shingle > 1:
         once = once.join(small(suspects(once, shingle)), "key", "left_semi")
-    texts = table(spark, once.dropDuplicates(text) if shingle > 1 else once, "texts")
+    texts = table(spark, once.dropDuplicates(text), "texts") if shingle > 1 else once  # all lines are split again, not kept
     similar = small(table(spark, near(texts, shingle).withColumn("similar", F.lit(True)), "similar"))
     decided = found.join(again, text, "left").join(similar, text, "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
     return decided.where(F.col("similar") | ~is_first).select("doc_id", "line_no", "similar").distinct()

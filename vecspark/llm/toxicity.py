@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import read, table
 
 FIT_ROWS = 12_000
-#: Rows whose words a Python worker holds at once.
+#: Rows whose words, or copies of whose texts, a Python worker holds at once.
 SLICE_ROWS = 128
 #: Word beginnings of these many characters are tried as entries.
 BEGINNINGS = range(3, 8)
@@ -329,7 +329,10 @@ def reject(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+            for a in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(a, SLICE_ROWS)
+                yield some.filter(pa.array([model.score(t.as_py()) < 0.5 for t in some.column(at)], pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -197,29 +197,29 @@ def forms(word: str) -> Iterator[str]:
             yield f"{word[:k]}*"
 
 
-def learned(toxic: list[tuple[int, list[str]]], clean: Callable[[set[str]], tuple[dict[tuple[str, int], int], tuple[int, int]]]) -> Lexicon:
+#: (form, half) and the number of texts of that half that hold it; the empty form is in every text.
+Counts = dict[tuple[str, int], int]
+
+
+def learned(pos: Counts, clean: Callable[[set[str]], Counts], covering: Callable[[set[str]], list[set[str]]]) -> Lexicon:
     """Entries that cover the toxic texts, by number of texts times certainty.
 
-    toxic: the half and the distinct words of bounded many texts; clean: given forms, in how many clean texts of each half
-    each of them is, and how many clean texts there are of each half.
+    pos: counts in toxic texts, of the threats and of the forms that LEAST_HALF texts of either half hold; clean: given
+    forms, their counts in clean texts; covering: given forms, which of them each toxic text has that has any.
     """
-    pos: list[Counter[str]] = [Counter(), Counter()]
-    for half, words in toxic:
-        pos[half].update({f for w in words for f in forms(w)})
-    both = {x for x, n in pos[0].items() if n >= LEAST_HALF and pos[1][x] >= LEAST_HALF} | {*THREATS}
-    pos = [Counter({x: n for x, n in p.items() if x in both}) for p in pos]
-    neg, none = clean(both)
-    size = [sum(h == k for h, _ in toxic) for k in (0, 1)]
+    both = {x for x, _ in pos if x} | {*THREATS}
+    neg = clean(both)
+    size, none = ([n.get(("", k), 0) for k in (0, 1)] for n in (pos, neg))
 
     def odds(x: str, halves: tuple[int, ...]) -> tuple[float, float]:
-        a, b = sum(pos[k][x] for k in halves) + 0.5, sum(neg.get((x, k), 0) for k in halves) + 0.5
+        a, b = sum(pos.get((x, k), 0) for k in halves) + 0.5, sum(neg.get((x, k), 0) for k in halves) + 0.5
         w = float(np.log(a / (sum(size[k] for k in halves) + 1)) - np.log(b / (sum(none[k] for k in halves) + 1)))
         return w, w - 1.64 * float(np.sqrt(1 / a + 1 / b))
 
     known = bool(sum(size) and sum(none))
     threats = {}
     for x, prior in THREATS.items():  # the prior weight, as if seen in PRIOR_COUNT texts, moved by what the labels say
-        n = sum(pos[k][x] + neg.get((x, k), 0) for k in (0, 1))
+        n = sum(pos.get((x, k), 0) + neg.get((x, k), 0) for k in (0, 1))
         told = odds(x, (0, 1))[0] if known and n else prior
         threats[x] = min((PRIOR_COUNT * prior + n * told) / (PRIOR_COUNT + n), MOST_WEIGHT)
     threats = {x: w for x, w in threats.items() if w > 0.5}
@@ -229,7 +229,7 @@ def learned(toxic: list[tuple[int, list[str]]], clean: Callable[[set[str]], tupl
         if whole[1] >= LEAST_WEIGHT and min(odds(x, (k,))[0] for k in (0, 1)) >= HALF_WEIGHT:
             strong[x] = whole[0]
     insults: dict[str, float] = {}
-    uncovered = [{f for w in words for f in forms(w) if f in strong} for _, words in toxic]
+    uncovered = covering({*strong}) if strong else []
     cover = Counter(f for own in uncovered for f in own)
     while cover:
         x, n = max(cover.items(), key=lambda p: (p[1] * strong[p[0]], p[0]))
@@ -273,7 +273,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """The driver is sent distinct words of the toxic fit rows, counts of their forms in the others, and clause features."""
+    """The driver is sent counts of forms in the fit rows, the entries in the toxic ones, and clause features."""
     spark = documents.sparkSession
     ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -288,19 +288,30 @@ def train(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
                 own = [sorted({*WORD.findall((t.as_py() or "").lower())}) for t in some.column(0)]
                 yield pa.RecordBatch.from_arrays([some.column(2), pa.array(own, pa.list_(pa.string()))], ["half", "words"])
 
-    def clean(wanted: set[str]) -> tuple[dict[tuple[str, int], int], tuple[int, int]]:
+    def counted(where: str, wanted: set[str] | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in words(batches):
                 n: Counter[tuple[str, int]] = Counter()
                 for half, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    n.update((f, half) for f in {f for w in own.as_py() for f in forms(w) if f in wanted} | {""})
+                    n.update((f, half) for f in {f for w in own.as_py() for f in forms(w) if wanted is None or f in wanted} | {""})
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in n], pa.string()), pa.array([h for _, h in n], pa.int32()), pa.array([*n.values()], pa.int64())], ["form", "half", "n"])
 
-        got = rows.where("toxic <= 0").mapInArrow(run, "form string, half int, n bigint").groupBy("form", "half").agg(F.sum("n").alias("n")).collect()
-        n = {(r["form"], r["half"]): r["n"] for r in got}
-        return n, (n.get(("", 0), 0), n.get(("", 1), 0))
+        halves = [F.sum(F.when(F.col("half") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]
+        return rows.where(where).mapInArrow(run, "form string, half int, n bigint").groupBy("form").agg(*halves)
+
+    def gathered(counts: DataFrame) -> Counts:
+        return {(r[0], k): r[1 + k] for r in counts.select("form", "n0", "n1").toLocalIterator() for k in (0, 1)}
+
+    def covering(strong: set[str]) -> list[set[str]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in words(batches):
+                found = [sorted({f for w in own.as_py() for f in forms(w) if f in strong}) for own in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x in found if x], pa.list_(pa.string()))], ["forms"])
+
+        return [{*r[0]} for r in rows.where("toxic > 0").mapInArrow(run, "forms array<string>").toLocalIterator()]
 
-    lexicon = learned([(r[0], r[1]) for r in rows.where("toxic > 0").mapInArrow(words, "half int, words array<string>").toLocalIterator()], clean)
+    common = (F.col("n0") >= LEAST_HALF) & (F.col("n1") >= LEAST_HALF) | F.col("form").isin("", *THREATS)
+    lexicon = learned(gathered(counted("toxic > 0", None).where(common)), lambda wanted: gathered(counted("toxic <= 0", wanted)), covering)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

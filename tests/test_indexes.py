@@ -247,3 +247,20 @@ def test_pq_batch_rejects_what_single_search_rejects(spark):
         index.search([-3e38, -3e38], 2).collect()
     with pytest.raises(InvalidConfig, match="representable"):
         index.search_batch(queries, 2).collect()
+
+
+def _apart(n=40):
+    """Two groups of rows by turns, each nearer to its own kind than to the other by far: pruning parts their graphs."""
+    return [[(1000.0 if i % 2 else 1.0) + i / 100, 1.0 + i * i % 11, (-1000.0 if i % 2 else 1.0)] for i in range(n)]
+
+
+def test_hnsw_parted_graph_is_exact_when_wide(spark):
+    """As on tables of 10,000 rows: what no edge leads to is found all the same, by wide beams and by narrow ones."""
+    data = of(spark, _apart())
+    index = HnswIndex(data, COSINE, HnswConfig(3, 4, 4, 1, 7))
+    graph = Graph.load(COSINE, index.config, np.arange(40), np.array(_apart(), np.float32), index.edges.toPandas())
+    assert len(graph.entries()) > 1 and len(graph.reached(graph.layers[0], [graph.entry])) < 40
+    for q in ([1.0, 3.0, 1.0], [900.0, 3.0, -900.0]):
+        want = FlatIndex(data, COSINE).search(q, 40).collect()
+        assert [r["row"] for r in index.search(q, 40, 40).collect()] == [r["row"] for r in want]
+        assert index.search(q, 1, 8).first()["row"] == want[0]["row"]

@@ -3,6 +3,8 @@
 Insertion and traversal are sequential by definition, so they run in a Python kernel on one shard of rows; shards are
 built and searched in parallel, and the nearest of all shards are ranked together. One shard is a single graph; SHARD_ROWS
 bounds what a task holds. The graph is a table (shard, level, row, neighbors): all state between tasks is DataFrames.
+
+Pruning takes edges at both ends, so a graph can fall into parts that no walk connects. A search begins in each of them.
 """
 
 from __future__ import annotations
@@ -82,6 +84,7 @@ class Graph:
         self.metric, self.config, self.ids, self.x = metric, config, ids, vectors.astype(np.float32)
         self.layers: list[dict[int, list[int]]] = []
         self.entry = -1
+        self.parts: list[int] | None = None
 
     def _far(self, q: np.ndarray, nodes: Sequence[int]) -> list[float]:
         return pairwise(self.metric, q[None, :], self.x[nodes])[0].tolist()
@@ -92,6 +95,10 @@ class Graph:
         if not starts:
             return []
         width = min(max(width, 1), len(layer))
+        if width == len(layer):  # no row is turned away, so the walk's order doesn't matter
+            nodes = self.reached(layer, starts)
+            d = pairwise(self.metric, q[None, :], self.x[nodes])[0]
+            return [(float(d[i]), nodes[i]) for i in np.lexsort((nodes, d))]
         front = list(zip(self._far(q, starts), starts, strict=True))
         seen = set(starts)
         heapify(front)
@@ -115,6 +122,27 @@ class Graph:
                 heappush(front, (d, n))
         return sorted((-d, -n) for d, n in best)
 
+    @staticmethod
+    def reached(layer: dict[int, list[int]], starts: Iterable[int]) -> list[int]:
+        """All nodes that edges lead to from the starts, and these."""
+        out = list(starts)
+        seen = set(out)
+        for node in out:  # grows as it is read
+            fresh = [n for n in layer[node] if n not in seen]
+            seen.update(fresh)
+            out += fresh
+        return out
+
+    def entries(self) -> list[int]:
+        """The first node of each part of layer 0; found once, when all nodes are in."""
+        if self.parts is None:
+            self.parts, seen = [], set()
+            for node in sorted(self.layers[0]):
+                if node not in seen:
+                    self.parts.append(node)
+                    seen.update(self.reached(self.layers[0], [node]))
+        return self.parts
+
     def descend(self, q: np.ndarray, layer: dict[int, list[int]], node: int) -> int:
         """Steps to the nearest neighbour as long as that is nearer."""
         at = (self._far(q, [node])[0], node)
@@ -137,7 +165,7 @@ class Graph:
         layer[owner] = own
 
     def insert(self, node: int) -> None:
-        level, q = self.config.level(int(self.ids[node])), self.x[node]
+        level, q, self.parts = self.config.level(int(self.ids[node])), self.x[node], None
         old_top = len(self.layers) - 1
         hierarchy = isinstance(self.config, HnswConfig)
         entries = [self.entry]
@@ -165,7 +193,7 @@ class Graph:
         node = self.entry
         for layer in self.layers[:0:-1]:
             node = self.descend(q, layer, node)
-        return self.beam(q, self.layers[0], [node], max(ef, k))[:k]
+        return self.beam(q, self.layers[0], [node, *self.entries()], max(ef, k))[:k]
 
     def table(self, shard: int) -> pd.DataFrame:
         rows = [(shard, level, int(self.ids[n]), [int(self.ids[m]) for m in near]) for level, layer in enumerate(self.layers) for n, near in sorted(layer.items())]

@@ -264,3 +264,13 @@ def test_hnsw_parted_graph_is_exact_when_wide(spark):
         want = FlatIndex(data, COSINE).search(q, 40).collect()
         assert [r["row"] for r in index.search(q, 40, 40).collect()] == [r["row"] for r in want]
         assert index.search(q, 1, 8).first()["row"] == want[0]["row"]
+
+
+def test_nsw_parted_graph_is_exact_when_wide(spark):
+    data = of(spark, _apart())
+    index = NswIndex(data, COSINE, NswConfig(3, 4, 4))
+    graph = Graph.load(COSINE, index.config, np.arange(40), np.array(_apart(), np.float32), index.edges.toPandas())
+    assert len(graph.entries()) > 1 and len(graph.reached(graph.layers[0], [graph.entry])) < 40
+    queries = spark.createDataFrame([(0, [1.0, 3.0, 1.0]), (1, [900.0, 3.0, -900.0])], "qid bigint, embedding array<float>")
+    want = FlatIndex(data, COSINE).search_batch(queries, 10)
+    assert sorted(index.search_batch(queries, 10, 40).collect()) == sorted(want.collect())

@@ -122,6 +122,23 @@ def test_pq_full_query_ranks_every_row(spark, oracle, monkeypatch):
     assert same_form(queries.pq_topk_full(spark, f"{DATA}/sf0.001").toPandas()) == oracle("sf0.001", queries.SQL["pq_topk_full"])
 
 
+def test_pq_full_query_sends_on_k_rows_a_batch(spark):
+    """Of a rerank of every row no table of all pairs is made: at 51,282 rows it held 131 million."""
+    data = line(spark, 600)
+    index = IvfPqIndex(data, L2, IvfPqConfig(4, 2, 2, 2, 8, 10, 7))
+    queries = np.array([[v, 3.0] for v in range(0, 600, 20)], np.float32)
+    for probes in (4, 2):
+        sent = index._ranked(np.arange(30), queries, 5, probes, 600)
+        assert sent.count() <= 30 * 5 * max(8, data.df.rdd.getNumPartitions())
+        found = index.search_batch(spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "qid bigint, embedding array<float>"), 5, probes, 600)
+        lists = {r["row"]: r["partition"] for r in index.codes.collect()}
+        for i in (0, 10, 20):
+            q = queries[i]
+            probed = index._lists(q[None, :], probes)[0]
+            among = [(float(np.float32(np.hypot(q[0] - v, q[1] - (v % 7 + 1)))), v) for v in range(600) if lists[v] in probed]
+            assert [r["row"] for r in found.where(f"qid = {i}").orderBy("rank").collect()] == [v for _, v in sorted(among)[:5]]
+
+
 def test_pq_magnitudes(spark):
     big = of(spark, [[3e20], [2e20], [1e20]])
     assert rows(IvfPqIndex(big, L2, IvfPqConfig(1, 1, 2, 1, 2, 3, 7)).search([0.0], 1)) == [2]

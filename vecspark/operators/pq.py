@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.errors import InvalidConfig
-from vecspark.functions.distance import Metric
-from vecspark.operators.index import VectorIndex, need
+from vecspark.functions.distance import Metric, pairwise
+from vecspark.operators.index import BATCH_SCHEMA, VectorIndex, nearest_of, need
 from vecspark.operators.ivf import IvfFlatConfig, IvfFlatIndex
 from vecspark.sources.dataset import Dataset, matrix
 
@@ -163,10 +163,14 @@ class IvfPqIndex(VectorIndex):
         need(rerank is None or rerank > 0, "rerank has to be positive")
         return probes or self.config.probes, rerank or self.config.rerank
 
+    def _lists(self, vectors: np.ndarray, probes: int) -> np.ndarray:
+        """Numbers of each query's nearest lists."""
+        order = squared(vectors, self.centroids)
+        return np.lexsort((np.broadcast_to(np.arange(order.shape[1]), order.shape), order), axis=1)[:, :probes]
+
     def shortlist(self, qids: np.ndarray, vectors: np.ndarray, size: int, probes: int) -> DataFrame:
         """(qid, row, approx): by the codes alone, the nearest of the probed lists. Tables are made for each batch's lists."""
-        order = squared(vectors, self.centroids)
-        lists = np.lexsort((np.broadcast_to(np.arange(order.shape[1]), order.shape), order), axis=1)[:, :probes]
+        lists = self._lists(vectors, probes)
         shared = self.dataset.spark.sparkContext.broadcast((qids, vectors, lists, self.centroids, self.codebooks))
         width, m_count = self.width, self.config.subquantizers
 
@@ -192,8 +196,34 @@ class IvfPqIndex(VectorIndex):
         rank = F.row_number().over(Window.partitionBy("qid").orderBy("approx", "row"))
         return found.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
 
+    def _whole(self, qids: np.ndarray, vectors: np.ndarray, k: int, probes: int) -> DataFrame:
+        """(qid, row, distance) where the shortlist is every row of the probed lists, so that codes needn't rank it: each
+        batch of the lists is compared where it is and sends on k rows a query, not every pair."""
+        lists = self._lists(vectors, probes)
+        wanted = sorted({int(x) for x in lists.ravel()})
+        shared, dimension, metric = self.dataset.spark.sparkContext.broadcast((qids, vectors, lists)), self.dataset.dimension, self.metric
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, vectors, lists = shared.value
+            for batch in batches:
+                number, rows, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), dimension)
+                members = [(p, np.flatnonzero(number == p)) for p in np.unique(number)]
+                for a in range(0, len(qids), 256):
+                    distance = np.full((len(qids[a : a + 256]), len(rows)), np.nan, np.float32)
+                    for p, here in members:
+                        who = np.flatnonzero((lists[a : a + 256] == p).any(1))
+                        if len(who):
+                            distance[np.ix_(who, here)] = pairwise(metric, vectors[a + who], x[here])
+                    yield nearest_of(qids[a : a + 256], rows, distance, k)
+
+        listed = self.codes.where(F.col("partition").isin(wanted)).select("partition", "row")
+        return self.dataset.df.join(listed, "row").select("partition", "row", "embedding").mapInArrow(run, BATCH_SCHEMA)
+
     def _ranked(self, qids: np.ndarray, vectors: np.ndarray, k: int, probes: int, rerank: int) -> DataFrame:
+        """What the final ranking takes: exact distances of the shortlist, of a whole one those of each batch's nearest."""
         size = min(max(rerank, k), self.dataset.rows)
+        if size == self.dataset.rows:
+            return self._whole(qids, vectors, k, probes)
         short = self.shortlist(qids, vectors, size, probes)
         shared, dimension = self.dataset.spark.sparkContext.broadcast(dict(zip(qids.tolist(), vectors, strict=True))), self.dataset.dimension
 

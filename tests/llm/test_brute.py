@@ -416,3 +416,26 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in docs.collect()} == set(_classes(prints).values())
     got = {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect()}
     assert got == {tuple(r) for r in docs.select("doc_id", "piece", "start", "length", "ids_crc32").collect()}
+
+
+def test_lm_texts_are_not_shuffled(spark):
+    """Of the whole disk limit texts took a third, in two shuffles: by doc_id to meet the labels, by shard to meet the counts."""
+    docs = spark.createDataFrame([(i % 50, f"a b{i % 7} c{i}") for i in range(60)] + [(None, "a"), (7, None)], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 50, 3)] + [(3, 1), (None, 1)], "doc_id bigint, quality int")
+    rows = lm_score._texts(docs)
+    models = lm_score.train(rows, lm_score._good(labels))
+    one = lm_score.scored(rows, models)
+    told = lm_score.labelled(docs, labels)
+    two = lm_score.scored(told, lm_score.train(told))
+    form = lambda df: sorted(repr((r["doc_id"], r["n_tokens"], round(r["target_loss"], 9), round(r["background_loss"], 9))) for r in df.collect())
+    assert form(one) == form(two) and one.count() == 62
+    plan = one._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_lm_coded_numbers():
+    for x in ([], [0], [1, 255, 0], [1 << 40, 3], [(1 << 64) - 1, 0]):
+        x = np.array(x, np.uint64)
+        assert (lm_score._decoded(lm_score._coded(x), len(x)) == x).all()
+    some = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 20_000).astype(np.uint64))
+    assert len(lm_score._coded(np.diff(some, prepend=np.uint64(0)))) < 0.85 * some.nbytes

@@ -57,6 +57,16 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, key: str, name: str) -> DataFrame:
+    """As table(), in a bucket for each shuffle partition: what is grouped by key is not shuffled again."""
+    path, entry = new_folder(spark, name), f"llm_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(entry)
+    out = spark.read.table(entry)  # holds the files' place and buckets, so the catalog's entry can go; the files stay
+    spark.sql(f"DROP TABLE {entry}")
+    return out
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table that nothing reads any more."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

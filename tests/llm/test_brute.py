@@ -279,6 +279,25 @@ def test_html_by_entropy(spark):
     assert got[3] == "story 3 of one" and got[103] == "tale 3\nown 3" and got[200] == "alone\nkept"
 
 
+def test_html_by_presentation(spark):
+    """What blocks alone don't tell: blocks that recur in every order are presented in many styles, and so matter."""
+    body = lambda tags: "<div class='zz'>" + "".join(f"<{t}>same {t}</{t}>" for t in tags) + "</div>"
+    tags = ["p", "h2", "h3", "h4", "pre"]
+    orders = [tags[i % 5 :] + tags[: i % 5] if i % 2 else tags[::-1][i % 5 :] + tags[::-1][: i % 5] for i in range(40)]
+    rows = [(i, "http://many.com/", body(orders[i])) for i in range(40)] + [(100 + i, "http://one.com/", body(tags)) for i in range(40)]
+    counts = site_tree.features(spark.createDataFrame([(h[7:10], x) for _, h, x in rows], "host string, html string"))
+    top = {r["host"]: r["importance"] for r in site_tree.importance(counts, "host", "node").groupBy("host").agg({"importance": "max"}).withColumnRenamed("max(importance)", "importance").collect()}
+    presented = np.log(10) / np.log(40)  # ten styles, alike in number; every block is on every page
+    assert np.allclose([top["man"], top["one"]], [(1 - 0.9**10) * presented, 0.0])
+
+
+def test_composite_importance():
+    """node, parent, depth, elements, share, own, contents, presentation, styles."""
+    got = site_tree.composed([(1, None, 1, 10, 0.0, 0.0, 1.0, 0.4, 2), (2, 1, 2, 10, 5.0, 10.0, 0.2, 0.0, 0), (3, 1, 2, 10, 5.0, 10.0, 0.6, 0.0, 0)])
+    assert np.allclose([got[1], got[2], got[3]], [max(0.19 * 0.4 + 0.81 * 0.4, 0.6), 0.2, 0.6])
+    assert site_tree.composed([(1, None, 1, 10, 0.0, 0.0, 1.0, 0.0, 1)])[1] == 1.0  # its children are of one page each
+
+
 def test_toxic_clauses():
     lexicon = toxicity.Lexicon({"idiot": 5.0, "scu*": 4.0}, {"kill": 3.0})
     f = lambda t: dict(zip(toxicity.READINGS, lexicon.features(t), strict=False))

@@ -1,12 +1,20 @@
 """Main text by a site style tree.
 
 Each page is read into a tree of elements. Pages of a host are merged into one style tree: an element node is its path
-of tags, classes and ids (its presentation), and the text blocks in its branch are its content. A block that n of a
-node's m pages show has entropy log(n) / log(m); a branch's importance is 1 less the mean entropy of its blocks. Branches
-of low importance are removed from each page, and the text of what is left is joined block by block.
+of tags, classes and ids, a presentation style of it the sequence of its child nodes (those with text), and its contents
+the text blocks that are its own. With m pages that have the node:
 
-Pages are merged by counting: a row for each distinct block of a page and node goes into one sum by host, node and
-block, so a host with a third of all pages is no single task. Nodes that fewer than LEAST_PAGES pages of a host show are
+- a block that n of them show has entropy log(n) / log(m); contents matter by 1 less the mean entropy of their blocks;
+- a node's presentation matters by the entropy, to base m, of how its elements share out among its l styles;
+- its composite importance is (1 - GAMMA**l) times that of its presentation and GAMMA**l times the mean, over its
+  elements, of that of their children, own contents being one of these; where m is 1 it is 1, without children that of
+  its contents.
+
+A branch is noise if its node and all nodes below it are less important than a bound. Noise is removed from each page,
+and the text of what is left is joined block by block.
+
+Pages are merged by counting: rows of a page's nodes, blocks and styles go into one sum by host and node, so a host with a
+third of all pages is no single task; importance is then composed from a host's distinct nodes. Nodes that fewer than LEAST_PAGES pages of a host show are
 judged by all hosts' nodes of that presentation. What an element says of itself (navigation, footer, form, a class like
 "ad") is a prior importance of 0; if a page has an article or main element, branches outside of it go, and those inside
 only if nearly all their blocks recur. If counts alone speak against every branch of a page, its branches stay.
@@ -36,6 +44,8 @@ LEAST_PAGES = 20
 #: Importance below which a branch goes, outside and inside of an article or main element.
 LEAST_IMPORTANCE = 0.5
 LEAST_IN_MAIN = 0.05
+#: How much of a node's importance comes from below, by the number of its styles.
+GAMMA = 0.9
 DEPTH = 512
 
 DROPPED = frozenset("head title script style noscript template svg math canvas iframe object embed audio video map button select option textarea input dialog menu".split())
@@ -192,47 +202,122 @@ def chain(node: Node) -> Iterator[Node]:
         node = node.parent
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """pages (host, html) -> (host, node, block, n): how many of a host's pages show a block in a node's branch.
+def elements(page: str) -> tuple[dict[int, list], dict[tuple[int, int], int], set[tuple[int, int]]]:
+    """A page's nodes (parent, depth, elements, their shares in their parents, own contents' share), elements by (node,
+    style), and (node, block)."""
+    at: dict[Node, list] = {}
+    texts = set()
+    for owner, text in blocks(page):
+        below = None
+        for node in chain(owner):
+            new = node not in at
+            element = at.setdefault(node, [[], False])
+            if below is None:
+                element[1] = True
+                texts.add((node.key, xxhash.xxh64_intdigest(text, 11) - (1 << 63)))
+            else:
+                element[0].append(below)
+            below = node
+            if not new:
+                break
+    nodes: dict[int, list] = {}
+    styles: dict[tuple[int, int], int] = {}
+    share = {}
+    for node, (children, own) in at.items():
+        part = 1.0 / (len(children) + own)
+        share.update((c, part) for c in children)
+        up = [n.key for n in chain(node)]
+        sums = nodes.setdefault(node.key, [up[1] if len(up) > 1 else None, len(up), 0, 0.0, 0.0])
+        sums[2] += 1
+        sums[4] += part * own
+        if children:
+            style = xxhash.xxh64_intdigest(" ".join(str(c.key) for c in children), 13) - (1 << 63)
+            styles[node.key, style] = styles.get((node.key, style), 0) + 1
+    for node in at:
+        nodes[node.key][3] += share.get(node, 0.0)
+    return nodes, styles, texts
+
+
+_COUNTS = "host string, node bigint, kind int, value bigint, n bigint, parent bigint, depth int, share double, own double"
+PAGE, BLOCK, STYLE = range(3)
 
-    Block null counts the pages that have the node.
-    """
+
+def features(pages: DataFrame) -> DataFrame:
+    """pages (host, html) -> (host, node, kind, value, pages, n, parent, depth, share, own): how many of a host's pages have
+    a node, show a block as its own contents, or an element of it in a style; n counts elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["host", "node", "block"], [pa.string(), pa.int64(), pa.int64()]
+        names, types = ["host", "node", "kind", "value", "n", "parent", "depth", "share", "own"], [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
         for batch in batches:
             rows: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen = set()
-                for owner, text in blocks(page.as_py() or ""):
-                    block = xxhash.xxh64_intdigest(text, 11) - (1 << 63)
-                    for node in chain(owner):
-                        seen.add((host, node.key, block))
-                        seen.add((host, node.key, None))
-                rows += seen
+                nodes, styles, texts = elements(page.as_py() or "")
+                rows += [(host, k, PAGE, None, n, parent, depth, share, own) for k, (parent, depth, n, share, own) in nodes.items()]
+                rows += [(host, k, STYLE, style, n, None, None, None, None) for (k, style), n in styles.items()]
+                rows += [(host, k, BLOCK, block, 1, None, None, None, None) for k, block in texts]
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    found = pages.select("host", "html").mapInArrow(run, "host string, node bigint, block bigint")
-    return found.groupBy("host", "node", "block").agg(F.count("*").alias("n"))
+    found = pages.select("host", "html").mapInArrow(run, _COUNTS).withColumn("pages", F.lit(1).cast("bigint"))
+    return merged(found, "host", "node")
+
+
+def merged(counts: DataFrame, *by: str) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("pages", "n")] + [F.max(c).alias(c) for c in ("parent", "depth")] + [F.sum(c).alias(c) for c in ("share", "own")]
+    return counts.groupBy(*by, "kind", "value").agg(*sums)
+
+
+def composed(nodes: list[tuple]) -> dict[int, float]:
+    """Nodes (node, parent, depth, elements, share, own, contents, presentation, styles) that more than one page has, of one
+    tree -> of each branch, the greatest composite importance in it."""
+    below: dict[int, list[tuple[float, float, float]]] = {}
+    out = {}
+    for node, parent, _, n, share, own, contents, presentation, styles in sorted(nodes, key=lambda x: -x[2]):
+        children = below.pop(node, [])
+        if own > 0:
+            children.append((own, contents, contents))
+        rest = n - sum(w for w, _, _ in children)  # children that one page has, as important as can be
+        if rest > 1e-6 * n:
+            children.append((rest, 1.0, 1.0))
+        mean = sum(w * x for w, x, _ in children) / n
+        value = (1.0 - GAMMA**styles) * presentation + GAMMA**styles * mean
+        out[node] = max([value, *(top for _, _, top in children)])
+        if parent is not None:
+            below.setdefault(parent, []).append((share, value, out[node]))
+    return out
 
 
 def importance(counts: DataFrame, *by: str) -> DataFrame:
-    """(by..., pages, importance): of a branch, 1 less the mean entropy of its distinct blocks."""
-    page = F.col("block").isNull()
-    sums = counts.groupBy(*by).agg(F.max(F.when(page, F.col("n"))).alias("pages"), F.avg(F.when(~page, F.log("n"))).alias("logs"))
-    return sums.where("pages > 1").select(*by, "pages", (F.lit(1.0) - F.least(F.col("logs") / F.log("pages"), F.lit(1.0))).alias("importance"))
+    """(by..., pages, importance) of nodes that more than one page has: of a branch, the greatest composite importance of
+    its nodes. by ends in node; what stands before it tells the trees apart."""
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    one = [F.max(of(PAGE, F.col(c))).alias(c) for c in ("pages", "parent", "depth", "n", "share", "own")]
+    n = F.col("n").cast("double")
+    logs = [F.avg(of(BLOCK, F.log(n))).alias("logs"), F.sum(of(STYLE, n)).alias("all"), F.sum(of(STYLE, n * F.log(n))).alias("nlogn"), F.count(of(STYLE, n)).alias("styles")]
+    sums = counts.groupBy(*by).agg(*one, *logs).where("pages > 1")
+    contents = F.lit(1.0) - F.least(F.coalesce("logs", F.lit(0.0)) / F.log("pages"), F.lit(1.0))
+    shown = F.greatest(F.least(F.coalesce((F.log("all") - F.col("nlogn") / F.col("all")) / F.log("pages"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    tree = [*by[:-1]] or ["tree"]
+    rows = sums.withColumns({"contents": contents, "shown": shown} | ({} if by[:-1] else {"tree": F.lit("")}))
+    rows = rows.select(*tree, "node", "parent", "depth", "n", "share", "own", "contents", "shown", "styles", "pages")
+
+    def run(found: pa.Table) -> pa.Table:
+        nodes = list(zip(*(c.to_pylist() for c in found.columns[len(tree) : -1]), strict=True))
+        value = composed(nodes)
+        return pa.table([*found.columns[: len(tree)], found["node"], found["pages"], pa.array([value[x[0]] for x in nodes], pa.float64())], [*tree, "node", "pages", "importance"])
+
+    schema = T.StructType([rows.schema[c] for c in (*tree, "node", "pages")] + [T.StructField("importance", T.DoubleType())])
+    return rows.groupBy(*tree).applyInArrow(run, schema).select(*by, "pages", "importance")
 
 
 def unimportant(counts: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, low): a host's branches below LEAST_IMPORTANCE and the importance of each, by its own counts or all hosts'."""
     own = importance(counts, "host", "node")
-    merged = counts.groupBy("node", "block").agg(F.sum("n").alias("n"))
-    common = importance(merged, "node").where((F.col("pages") >= least_pages) & (F.col("importance") < LEAST_IMPORTANCE)).select("node", F.col("importance").alias("common"))
-    nodes = counts.where("block IS NULL").select("host", "node")
+    common = importance(merged(counts, "node"), "node").where((F.col("pages") >= least_pages) & (F.col("importance") < LEAST_IMPORTANCE)).select("node", F.col("importance").alias("common"))
+    nodes = counts.where(F.col("kind") == PAGE).select("host", "node")
     sure = own.where(F.col("pages") >= least_pages)
     judged = nodes.join(sure, ["host", "node"], "left").join(common, "node", "left").select("host", "node", F.coalesce("importance", "common").alias("importance"))
     return judged.where(F.col("importance") < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("low"))

@@ -6,9 +6,10 @@ has the same text, or if the Jaccard similarity of its tokens and another, earli
 without words stay. op1 takes shingles of SHINGLE words, which its SQL fixes; the pipeline takes words.
 
 1. Equal lines meet under 128 bits of hashes with their first occurrence; only keys, never texts, are grouped.
-2. Nearly all shingles are rare, so most lines end here: similar lines share at least m tokens within prefixes that are
-   m - 1 longer than one shared token would need, whatever the order of all tokens; here it is that of their hashes. A line
-   with fewer than m prefix tokens that another line's prefix has too can't be similar to one. (Words recur too much.)
+2. Nearly all shingles are rare, so most lines end here: a line of n tokens has at most n - ceil(0.8 n) that a similar line
+   lacks. Of the tokens whose hash is in CHOSEN of CHOICES parts of all hashes, a line that has more than so many to itself
+   can't be similar to any. The others, with those of too few such tokens, go on, all of their tokens with them. (Words recur
+   too much.)
 3. Tokens of the lines that are left are ordered by rarity: by the number of lines that hold a token of their bucket (of
    BUCKETS, so the table of them has a fixed size), then by hash. Any order that all lines share gives the same result;
    this one keeps groups small.
@@ -40,8 +41,8 @@ THRESHOLD = (4, 5)
 #: Tables of at most so many rows of a few numbers are broadcast after they have been counted (some 90 bytes a row as a
 #: hash table, so 180 MB); larger ones are shuffled.
 BROADCAST_ROWS = 2_000_000
-#: Tokens that a line's prefix must share: LEAST and one more for EVERY tokens; each makes the prefix one longer.
-LEAST, EVERY = 2, 16
+#: Of CHOICES parts of all hashes (a power of two), those of whose tokens the first filter looks for lines that hold them.
+CHOSEN, CHOICES = 3, 8
 #: Buckets of words by hash; the table of their levels is one byte each.
 BUCKETS = 1 << 18
 #: Levels are so many to a doubling; a word whose bucket is in HOT lines or more is hot.
@@ -111,21 +112,25 @@ def _prefix(n: Column) -> Column:
 
 
 def suspects(once: DataFrame, shingle: int) -> DataFrame:
-    """once (key, line), one row a text -> a table (key): keys whose prefix shares enough tokens with other keys'.
+    """once (key, line), one row a text -> a table (key): keys whose chosen tokens allow for a similar line.
 
-    A similar line may have as few as _needed(n) tokens, and its prefix is longer by that line's m - 1, so that is what
-    the prefix is bound to share, or all that the line needs. Tokens are counted with partial sums and then looked up, so
-    no task gathers a token's lines.
+    A token is chosen by its own hash, so in every line that holds it. Of a line's n tokens a similar line lacks at most
+    n - _needed(n), so if more than that are chosen and occur but once in all, the line has no similar one. Repeats within
+    a line make n larger and its own tokens fewer, so they only let more lines through; a line with few chosen tokens goes
+    through too. Generated code makes the rows, which takes a small part of what functions over arrays would.
     """
     spark = once.sparkSession
-    n = F.size("h")
-    longer = F.floor(n / EVERY).cast("int") + (LEAST - 1)
-    need = F.least(F.floor(_needed(n) / EVERY).cast("int") + LEAST, _needed(n))
-    held = table(spark, hashed(once, shingle).select("key", need.alias("need"), F.slice(F.sort_array("h"), F.lit(1), _prefix(n) + longer).alias("prefix")), "hash-prefixes")
-    entries = held.select("key", "need", F.explode("prefix").alias("token"))
-    common = small(table(spark, entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "common"))
-    found = entries.join(common, "token", "left_semi").groupBy("key", "need").agg(F.count("*").alias("n")).where("n >= need")
-    out = table(spark, found.select("key"), "suspects")
+    w, i, token = F.col("_w"), F.col("_i"), F.col("token")
+    last = F.greatest(F.size(w) - shingle, F.lit(0))
+    of_words = once.select("key", F.explode(F.array(F.transform(words(F.col("line")), lambda x: F.xxhash64(x)))).alias("_w"))
+    every = of_words.select("key", "_w", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    hashes = every.select("key", (last + 1).alias("n"), "_i", (F.size(w) < shingle).alias("short"), F.xxhash64(*[F.get(w, i + k) for k in range(shingle)]).alias("token"))
+    chosen = F.col("short") | (token.bitwiseAND(F.lit(CHOICES - 1)) < CHOSEN)
+    held = table(spark, hashes.where(chosen | (i == 0)).select("key", "n", chosen.alias("chosen"), "token"), "hash-choice")
+    common = small(table(spark, held.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "common"))
+    own = F.count(F.when(F.col("chosen") & F.col("common").isNull(), 1))
+    met = held.join(common.withColumn("common", F.lit(True)), "token", "left").groupBy("key").agg(F.max("n").alias("n"), own.alias("own"))
+    out = table(spark, met.where(F.col("own") <= F.col("n") - _needed(F.col("n"))).select("key"), "suspects")
     drop_table(spark, held)
     return out
 

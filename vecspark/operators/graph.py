@@ -11,20 +11,27 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable, Sequence
+from bisect import bisect
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from heapq import heapify, heappop, heappush, heappushpop
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions.distance import Metric, pairwise
-from vecspark.operators.index import BATCH_SCHEMA, VectorIndex, need
+from vecspark.operators.index import BATCH_SCHEMA, VectorIndex, nearest_of, need
 from vecspark.sources.dataset import Dataset
 
-SHARD_ROWS = 50_000
+SHARD_ROWS = 10_000
+#: Queries, or rows to insert, whose distances to all rows of a shard a task holds at once.
+BLOCK = 64
+#: Distances of a walk's query to nodes.
+Far = Callable[[Sequence[int]], Iterable[float]]
+FOUND = pa.schema([("qid", pa.int64()), ("row", pa.int64()), ("distance", pa.float32())])
 EDGES = "shard int, level int, row bigint, neighbors array<bigint>"
 
 
@@ -78,18 +85,49 @@ class HnswConfig:
 
 
 class Graph:
-    """A shard's layers: local numbers in insertion order, ties by number. Ids are ascending, so ties are by row."""
+    """A shard's layers: local numbers in insertion order, ties by number. Ids are ascending, so ties are by row.
+
+    Walks compare distances in double, of vectors that were brought to unit length once for the cosine. What a search returns
+    is ranked by `pairwise` again.
+    """
 
     def __init__(self, metric: Metric, config: NswConfig | HnswConfig, ids: np.ndarray, vectors: np.ndarray):
         self.metric, self.config, self.ids, self.x = metric, config, ids, vectors.astype(np.float32)
+        self.wide = self._wide(self.x)
         self.layers: list[dict[int, list[int]]] = []
+        #: Of each layer, the distances along a node's edges in their order; of loaded nodes when they are first needed.
+        self.spans: list[dict[int, list[float]]] = []
         self.entry = -1
         self.parts: list[int] | None = None
 
-    def _far(self, q: np.ndarray, nodes: Sequence[int]) -> list[float]:
-        return pairwise(self.metric, q[None, :], self.x[nodes])[0].tolist()
+    def _wide(self, vectors: np.ndarray) -> np.ndarray:
+        out = vectors.astype(np.float64)
+        if self.metric is Metric.COSINE:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out /= np.sqrt(np.vecdot(out, out))[..., None]
+        return out
 
-    def beam(self, q: np.ndarray, layer: dict[int, list[int]], entries: Iterable[int], width: int) -> list[tuple[float, int]]:
+    def _far(self, q: np.ndarray, nodes: Sequence[int]) -> list[float]:
+        """In the order of the distances to a query as of _wide: squares, or negated inner products. Equal rows tie."""
+        x = self.wide.take(nodes, 0)
+        if self.metric is Metric.EUCLIDEAN:
+            x -= q
+            return np.vecdot(x, x).tolist()
+        return np.negative(np.vecdot(x, q)).tolist()
+
+    def _fars(self, nodes: Sequence[int]) -> Iterator[Far]:
+        """_far of each node, to those before and the graph's. Inner products come of one product of matrices a block."""
+        if self.metric is Metric.EUCLIDEAN:
+            yield from (partial(self._far, self.wide[node]) for node in nodes)
+            return
+        last = max(self.layers[0], default=-1) if self.layers else -1
+        for a in range(0, len(nodes), BLOCK):
+            block = list(nodes[a : a + BLOCK])
+            last = max(last, *block)
+            for row in -(self.wide[block] @ self.wide[: last + 1].T):
+                yield partial(map, row.tolist().__getitem__)
+
+    def beam(self, far: Far, layer: dict[int, list[int]], entries: Iterable[int], width: int) -> list[tuple[float, int]]:
         """The nearest `width` that a best-first walk finds, nearest first."""
         starts = [n for n in dict.fromkeys(entries) if n in layer]
         if not starts:
@@ -97,30 +135,30 @@ class Graph:
         width = min(max(width, 1), len(layer))
         if width == len(layer):  # no row is turned away, so the walk's order doesn't matter
             nodes = self.reached(layer, starts)
-            d = pairwise(self.metric, q[None, :], self.x[nodes])[0]
-            return [(float(d[i]), nodes[i]) for i in np.lexsort((nodes, d))]
-        front = list(zip(self._far(q, starts), starts, strict=True))
-        seen = set(starts)
-        heapify(front)
-        best = [(-d, -n) for d, n in front]
-        heapify(best)
-        while len(best) > width:
-            heappop(best)
-        while front:
-            near = heappop(front)
-            if len(best) == width and near > (-best[0][0], -best[0][1]):
-                break
-            fresh = [n for n in layer[near[1]] if n not in seen]
+            return sorted(zip(far(nodes), nodes, strict=True))
+        best = sorted(zip(far(starts), starts, strict=True))[:width]
+        seen, walked = set(starts), set()
+        last = best[-1] if len(best) == width else (math.inf, 0)
+        at = 0  # all before it have been walked from
+        while at < len(best):
+            node = best[at][1]
+            at += 1
+            if node in walked:
+                continue
+            walked.add(node)
+            fresh = [n for n in layer[node] if n not in seen]
             seen.update(fresh)
-            for d, n in zip(self._far(q, fresh), fresh, strict=True) if fresh else ():
-                if len(best) < width:
-                    heappush(best, (-d, -n))
-                elif (-d, -n) > best[0]:
-                    heappushpop(best, (-d, -n))
-                else:
+            for pair in zip(far(fresh), fresh, strict=True) if fresh else ():
+                if pair > last:
                     continue
-                heappush(front, (d, n))
-        return sorted((-d, -n) for d, n in best)
+                i = bisect(best, pair)
+                best.insert(i, pair)
+                at = min(at, i)
+                if len(best) > width:
+                    best.pop()
+                if len(best) == width:
+                    last = best[-1]
+        return best
 
     @staticmethod
     def reached(layer: dict[int, list[int]], starts: Iterable[int]) -> list[int]:
@@ -143,57 +181,87 @@ class Graph:
                     seen.update(self.reached(self.layers[0], [node]))
         return self.parts
 
-    def descend(self, q: np.ndarray, layer: dict[int, list[int]], node: int) -> int:
+    def descend(self, far: Far, layer: dict[int, list[int]], node: int) -> int:
         """Steps to the nearest neighbour as long as that is nearer."""
-        at = (self._far(q, [node])[0], node)
+        at = (*far([node]), node)
         while layer[at[1]]:
-            step = min(zip(self._far(q, layer[at[1]]), layer[at[1]], strict=True))
+            step = min(zip(far(layer[at[1]]), layer[at[1]], strict=True))
             if step >= at:
                 break
             at = step
         return at[1]
 
-    def _prune(self, layer: dict[int, list[int]], owner: int, cap: int) -> None:
+    def _spans(self, level: int, node: int) -> list[float]:
+        spans = self.spans[level]
+        if node not in spans:
+            spans[node] = self._far(self.wide[node], self.layers[level][node]) if self.layers[level][node] else []
+        return spans[node]
+
+    def _prune(self, level: int, owner: int, cap: int) -> None:
         """Keeps an owner's nearest edges; a dropped one goes at both ends."""
-        own = sorted(set(layer[owner]))
-        if len(own) > cap:
-            order = sorted(zip(self._far(self.x[owner], own), own, strict=True))
-            for _, n in order[cap:]:
-                if owner in layer[n]:
-                    layer[n].remove(owner)
-            own = [n for _, n in order[:cap]]
-        layer[owner] = own
-
-    def insert(self, node: int) -> None:
-        level, q, self.parts = self.config.level(int(self.ids[node])), self.x[node], None
+        layer, near, spans = self.layers[level], self.layers[level][owner], self._spans(level, owner)
+        while len(near) > cap:
+            at = spans.index(max(spans))
+            if spans.count(spans[at]) > 1:
+                at = near.index(max(zip(spans, near, strict=True))[1])
+            other = near.pop(at)
+            del spans[at]
+            back = self._spans(level, other)
+            at = layer[other].index(owner)
+            del layer[other][at], back[at]
+
+    def extend(self, nodes: Sequence[int]) -> None:
+        """Inserts nodes one after the other."""
+        for node, far in zip(nodes, self._fars(nodes), strict=True):
+            self.insert(node, far)
+
+    def insert(self, node: int, far: Far | None = None) -> None:
+        level, far, self.parts = self.config.level(int(self.ids[node])), far or partial(self._far, self.wide[node]), None
         old_top = len(self.layers) - 1
         hierarchy = isinstance(self.config, HnswConfig)
         entries = [self.entry]
         if old_top >= 0:
             for k in range(old_top, level, -1):
-                entries = [self.descend(q, self.layers[k], entries[0])]
+                entries = [self.descend(far, self.layers[k], entries[0])]
             for k in range(min(level, old_top), -1, -1):
                 layer, cap = self.layers[k], self.config.cap(k)
-                found = [n for _, n in self.beam(q, layer, entries, max(self.config.ef_construction, cap))]
+                found = self.beam(far, layer, entries, max(self.config.ef_construction, cap))
                 chosen = found[:cap]
-                layer[node] = list(chosen)
-                for n in chosen:
+                layer[node], self.spans[k][node] = [n for _, n in chosen], [d for d, _ in chosen]
+                for d, n in chosen:
+                    self._spans(k, n).append(d)
                     layer[n].append(node)
-                for owner in sorted({*chosen, node}):
-                    self._prune(layer, owner, cap)
-                entries = found[:1] or entries
+                for n in sorted(n for _, n in chosen):
+                    if len(layer[n]) > cap:
+                        self._prune(k, n, cap)
+                entries = [n for _, n in found[:1]] or entries
         while len(self.layers) <= level:
             self.layers.append({node: []})
+            self.spans.append({node: []})
         if not hierarchy or level > old_top:
             self.entry = node
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
+        return [(d, n) for batch in self.search_batch(q[None, :], k, ef) for d, n in zip(batch["distance"].to_pylist(), batch["row"].to_pylist(), strict=True)]
+
+    def search_batch(self, queries: np.ndarray, k: int, ef: int) -> Iterator[pa.RecordBatch]:
+        """(qid, row, distance) of the k nearest that each query's walk finds: numbers of queries and nodes."""
         if not self.layers or not k:
-            return []
-        node = self.entry
-        for layer in self.layers[:0:-1]:
-            node = self.descend(q, layer, node)
-        return self.beam(q, self.layers[0], [node, *self.entries()], max(ef, k))[:k]
+            return
+        base, width = self.layers[0], max(ef, k)
+        if width >= len(base):  # no walk turns a node away, so all queries take the same one
+            nodes = np.array(self.reached(base, self.entries()))
+            x = self.x[nodes]
+            for a in range(0, len(queries), BLOCK):
+                some = queries[a : a + BLOCK]
+                yield nearest_of(np.arange(a, a + len(some)), nodes, pairwise(self.metric, some, x), k)
+            return
+        for i, q in enumerate(self._wide(queries)):
+            node, far = self.entry, partial(self._far, q)
+            for layer in self.layers[:0:-1]:
+                node = self.descend(far, layer, node)
+            nodes = np.array([n for _, n in self.beam(far, base, [node, *self.entries()], width)])
+            yield nearest_of(np.array([i]), nodes, pairwise(self.metric, queries[i : i + 1], self.x[nodes]), k)
 
     def table(self, shard: int) -> pd.DataFrame:
         rows = [(shard, level, int(self.ids[n]), [int(self.ids[m]) for m in near]) for level, layer in enumerate(self.layers) for n, near in sorted(layer.items())]
@@ -205,6 +273,7 @@ class Graph:
         graph = cls(metric, config, ids, vectors)
         at = {int(i): n for n, i in enumerate(ids)}
         graph.layers = [{} for _ in range(int(edges["level"].max()) + 1)] if len(edges) else []
+        graph.spans = [{} for _ in graph.layers]
         for level, row, near in zip(edges["level"], edges["row"], edges["neighbors"], strict=True):
             graph.layers[level][at[int(row)]] = [at[int(n)] for n in near]
         if graph.layers:
@@ -227,17 +296,18 @@ class GraphIndex(VectorIndex):
         self.config = config or self.config_type()
         self.config.check()
         self.shards = shards or max(1, -(-dataset.rows // SHARD_ROWS))
-        self.rows = dataset.df.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(self.shards)).cast("int")).persist()
+        #: A task a shard: hashed shards would meet in some tasks and leave others idle.
+        self.rows = dataset.df.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(self.shards)).cast("int")).repartitionById(self.shards, F.col("shard")).persist()
         metric, config = self.metric, self.config
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             ids, vectors = _sorted(pdf)
             graph = Graph(metric, config, ids, vectors)
-            for n in range(len(ids)):
-                graph.insert(n)
+            graph.extend(range(len(ids)))
             return graph.table(int(pdf["shard"].iloc[0]))
 
         self.edges = self.rows.groupBy("shard").applyInPandas(build, EDGES).persist()
+        self.edges.count()  # else each block of queries that is searched at once builds the graphs for itself
 
     def adjacency(self, level: int = 0) -> DataFrame:
         return self.edges.where(F.col("level") == level).select("row", "neighbors")
@@ -256,8 +326,8 @@ class GraphIndex(VectorIndex):
         def walk(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             graph = Graph.load(metric, config, *_sorted(rows), edges)
             qids, vectors = shared.value
-            out = [(int(i), int(graph.ids[n]), d) for i, q in zip(qids, vectors, strict=True) for d, n in graph.search(q, k, ef)]
-            return pd.DataFrame(out, columns=["qid", "row", "distance"]).astype({"qid": "int64", "row": "int64", "distance": "float32"})
+            out = pa.Table.from_batches(graph.search_batch(vectors, k, ef), FOUND).to_pandas()
+            return out.assign(qid=qids[out["qid"]], row=graph.ids[out["row"]])
 
         return self.rows.groupBy("shard").cogroup(self.edges.groupBy("shard")).applyInPandas(walk, BATCH_SCHEMA)
 
@@ -286,9 +356,7 @@ class GraphIndex(VectorIndex):
             ids, vectors = _sorted(rows)
             graph = Graph.load(metric, config, ids, vectors, edges)
             fresh = set(rows.loc[rows["new"], "row"].tolist())
-            for n, i in enumerate(ids.tolist()):
-                if i in fresh:
-                    graph.insert(n)
+            graph.extend([n for n, i in enumerate(ids.tolist()) if i in fresh])
             return graph.table(int(rows["shard"].iloc[0]))
 
         edges = both.groupBy("shard").cogroup(self.edges.groupBy("shard")).applyInPandas(extend, EDGES).persist()
